@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,23 +32,23 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows with about ``limit`` bytes of text each, whole rows only."""
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of at most ``rows`` rows with about ``limit`` bytes of text each, whole rows only."""
     if not batch.num_rows:
         return
-    sizes = np.array(pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0), dtype=np.int64)
-    block = np.cumsum(sizes) // limit
+    sizes = np.array(pc.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0), dtype=np.int64)
+    block = np.cumsum(sizes) // limit + np.arange(batch.num_rows) // rows
     cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a)
 
 
-def by_slices(function: Callable[[pa.RecordBatch], pa.RecordBatch | None], limit: int = 2 << 20):
+def by_slices(function: Callable[[pa.RecordBatch], pa.RecordBatch | None], limit: int = 2 << 20, column: str = "text", rows: int = 4096):
     """A mapInArrow function that applies ``function`` to bounded runs of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, limit=limit):
+            for piece in slices(batch, column, limit, rows):
                 out = function(piece)
                 if out is not None and out.num_rows:
                     yield out

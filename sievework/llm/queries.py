@@ -5,17 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievework.llm import exact
+from sievework.llm import exact, quality, ranking, toxicity
 from sievework.llm.common import documents
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = ranking.remainder(3) == 1
+    scored = ranking.rank_quality(documents(spark, sf_dir), labels(spark, sf_dir), allowed=~held)
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = ranking.remainder(4) == 2
+    scored = toxicity.score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir), allowed=~held)
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op8_exact_dedup]
+    found = [op3_quality_ranking, op5_quality_rules, op8_exact_dedup, op9_toxicity]
     return {f.__name__: f for f in found}
 
 
