@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import exact, quality, ranking, toxicity
+from sievework.llm import bytebpe, exact, idfiles, packing, quality, ranking, toxicity
 from sievework.llm.common import documents
 
 
@@ -15,12 +16,27 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+#: The tokenizers of the registered queries; operators take any path.
+WORD_BPE, WORD_VOCABULARY = "word_bpe_49k.json", 49_408
+BYTE_BPE = "byte_bpe_50k.tiktoken"
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE), capacity=2048, end=0)
+
+
 def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = ranking.remainder(3) == 1
     scored = ranking.rank_quality(documents(spark, sf_dir), labels(spark, sf_dir), allowed=~held)
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op4_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = idfiles.new_folder(spark)
+    manifest = idfiles.write_ids(documents(spark, sf_dir), folder, public_tokenizers.path(WORD_BPE), WORD_VOCABULARY, end=2)
+    return idfiles.read_ids(spark, folder, manifest, idfiles.sizes_and_crc, "n_tokens long, ids_crc32 long")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -35,8 +51,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bytebpe.encode(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, decoded=True)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_quality_ranking, op5_quality_rules, op8_exact_dedup, op9_toxicity]
+    found = [op1_best_fit_packing, op3_quality_ranking, op4_packed_ids, op5_quality_rules, op8_exact_dedup, op9_toxicity, op10_byte_bpe]
     return {f.__name__: f for f in found}
 
 
