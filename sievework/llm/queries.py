@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import bytebpe, exact, idfiles, packing, quality, ranking, toxicity
+from sievework.llm import bytebpe, exact, idfiles, packing, quality, ranking, substring, toxicity
 from sievework.llm.common import documents
 
 
@@ -41,6 +41,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedup_substrings(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir))
 
@@ -62,7 +67,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op3_quality_ranking, op4_packed_ids, op5_quality_rules, op8_exact_dedup, op9_toxicity, op10_byte_bpe]
+    found = [op1_best_fit_packing, op3_quality_ranking, op4_packed_ids, op5_quality_rules, op7_substring_dedup, op8_exact_dedup, op9_toxicity, op10_byte_bpe]
     return {f.__name__: f for f in found}
 
 
