@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import bytebpe, exact, idfiles, packing, quality, ranking, substring, toxicity
+from sievework.llm import bytebpe, chosenpath, exact, idfiles, packing, quality, ranking, substring, toxicity
 from sievework.llm.common import documents
 
 
@@ -25,6 +25,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE), capacity=2048, end=0)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.jaccard_groups(documents(spark, sf_dir))
+
+
 def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = ranking.remainder(3) == 1
     scored = ranking.rank_quality(documents(spark, sf_dir), labels(spark, sf_dir), allowed=~held)
@@ -67,7 +71,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op3_quality_ranking, op4_packed_ids, op5_quality_rules, op7_substring_dedup, op8_exact_dedup, op9_toxicity, op10_byte_bpe]
+    found = [op1_best_fit_packing, op2_jaccard_join, op3_quality_ranking, op4_packed_ids, op5_quality_rules, op7_substring_dedup, op8_exact_dedup, op9_toxicity, op10_byte_bpe]
     return {f.__name__: f for f in found}
 
 
