@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import bytebpe, chosenpath, exact, idfiles, packing, quality, ranking, substring, toxicity
+from sievework.llm import backoff, bytebpe, chosenpath, exact, idfiles, packing, quality, ranking, substring, toxicity
 from sievework.llm.common import documents
 
 
@@ -45,6 +45,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op6_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = backoff.backoff_scores(documents(spark, sf_dir))
+    return scored.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.dedup_substrings(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -71,12 +76,40 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_jaccard_join, op3_quality_ranking, op4_packed_ids, op5_quality_rules, op7_substring_dedup, op8_exact_dedup, op9_toxicity, op10_byte_bpe]
+    found = [op1_best_fit_packing, op2_jaccard_join, op3_quality_ranking, op4_packed_ids, op5_quality_rules, op6_backoff_scores, op7_substring_dedup, op8_exact_dedup, op9_toxicity, op10_byte_bpe]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_backoff_scores": """
+            WITH split AS (
+                SELECT row_number() OVER () AS r, doc_id,
+                       list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+                FROM documents),
+            words AS (SELECT r, doc_id, unnest(range(len(w))) AS i, unnest(w) AS w3 FROM split),
+            seq AS (SELECT *, lag(w3, 1) OVER (PARTITION BY r ORDER BY i) AS w2, lag(w3, 2) OVER (PARTITION BY r ORDER BY i) AS w1 FROM words),
+            c1 AS (SELECT w3 AS a, count(*) AS c FROM words GROUP BY 1),
+            c2 AS (SELECT w2 AS a, w3 AS b, count(*) AS c FROM seq WHERE i >= 1 GROUP BY 1, 2),
+            c3 AS (SELECT w1 AS a, w2 AS b, w3 AS d, count(*) AS c FROM seq WHERE i >= 2 GROUP BY 1, 2, 3),
+            n AS (SELECT count(*)::DOUBLE AS n FROM words),
+            joined AS (
+                SELECT r, doc_id, i, n.n, u.c AS cu, v.c AS cv, vw.c AS cvw, uv.c AS cuv, uvw.c AS cuvw
+                FROM seq CROSS JOIN n JOIN c1 u ON u.a = w3
+                LEFT JOIN c1 v ON v.a = w2
+                LEFT JOIN c2 vw ON vw.a = w2 AND vw.b = w3
+                LEFT JOIN c2 uv ON uv.a = w1 AND uv.b = w2
+                LEFT JOIN c3 uvw ON uvw.a = w1 AND uvw.b = w2 AND uvw.d = w3),
+            scored AS (
+                SELECT r, doc_id, CASE
+                    WHEN cuvw >= 2 THEN ln(cuvw) - ln(cuv)
+                    WHEN cvw >= 2 THEN ln(cvw) - ln(cv) + CASE WHEN i >= 2 THEN ln(0.4) ELSE 0 END
+                    ELSE ln(cu) - ln(n) + ln(0.4) * least(i, 2) END AS s
+                FROM joined),
+            summed AS (SELECT r, count(*) AS n_tokens, sum(s) AS s FROM scored GROUP BY r)
+            SELECT split.doc_id, coalesce(n_tokens, 0) AS n_tokens, round(coalesce(s, 0), 4) AS log_score
+            FROM split LEFT JOIN summed ON summed.r = split.r
+        """,
         "op8_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
