@@ -3,8 +3,8 @@
 Documents with the same set of word shingles are one class. Each class has a sketch of SKETCH minwise values. A run
 starts from one root bucket; in every bucket some coordinates are sampled (1 / threshold of them on average, the same
 for all members), and each splits the bucket by its members' values there. Buckets of at most ``small`` members are
-compared by brute force. In a larger one all members are compared with one pivot; those that agree with it are linked
-to it and leave the bucket, and the rest is split again. Runs are repeated until a pair at the threshold is found with
+compared by brute force. In a larger one all members are compared with one pivot, drawn anew for each bucket; those
+that agree with it are linked to it and leave the bucket (not the other buckets), and the rest is split again. Runs are repeated until a pair at the threshold is found with
 the target recall. Linked classes form groups, and within a group every pair is verified on the whole shingle sets.
 """
 
@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from sievework.llm import textkernels as K
 from sievework.llm.common import broadcast_if_small, by_slices, grouped, partitions, texts
-from sievework.llm.components import connected_components
+from sievework.plans.components import connected_components
 from sievework.session import materialise
 
 SHINGLE, THRESHOLD = 5, 0.8
 SKETCH = 64
-RECALL = 0.9999
+RECALL = 0.998
 SMALL = 32  # members of a bucket that is compared by brute force
 DEPTH = 4  # splits, before what is left of large buckets is compared block by block
 BLOCK = 192  # members of a block
@@ -132,8 +132,7 @@ def split_buckets(members: DataFrame, threshold: float, agree: int) -> tuple[Dat
             drawn = matrix(batch.column(2))
             same = (drawn == matrix(batch.column(4))).sum(1)
             near = same >= agree
-            # Links to the pivot also tie members that a near one might be similar to.
-            tie = (same >= agree // 3) & (rep != pivot)
+            tie = near & (rep != pivot)
             yield pa.record_batch([pa.array(rep[tie]), pa.array(pivot[tie]), pa.nulls(int(tie.sum()), pa.int64())], ["a", "b", "path"])
             rest = np.flatnonzero(~near)
             member, onward = children(path[rest].view(np.uint64), drawn[rest], threshold)
@@ -193,7 +192,7 @@ def candidate_links(classes: DataFrame, threshold: float, recall: float, small:
     links, ready = [], []
     for level in range(depth + 1):
         rows = materialise(rows, "paths")
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).where("n > 1")
+        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min_by("rep", F.xxhash64("path", "rep")).alias("pivot")).where("n > 1")
         held = materialise(rows.join(sizes, "path"), "paths-held")
         ready.append(held.where(F.col("n") <= small).select("path", "rep"))
         large = held.where(F.col("n") > small)
@@ -305,3 +304,11 @@ def jaccard_groups(docs: DataFrame, size: int = SHINGLE, threshold: float = THRE
         F.coalesce("rep", "doc_id").alias("rep_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
     )
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but for documents that are linked to one with a smaller id."""
+    groups = jaccard_groups(docs, id_col=id_col, text_col=text_col, **settings)
+    dropped = materialise(groups.where("class_id <> doc_id").select(F.col("doc_id").alias("_dropped_id")).distinct(), "jaccard-dropped")
+    gone = broadcast_if_small(dropped, dropped.count(), 16)
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("_dropped_id"), "left_anti")
