@@ -2,12 +2,14 @@
 
 Passes over the whole table:
 
+0. Copies of a whole text with a smaller id lose all words (if they have a window) and take no part below.
 1. Every window of ``window`` words has an anchor, the smallest hash of the word runs within it; equal windows have
    equal anchors. Anchors are counted over all documents (one row for each anchor, slice and task before the shuffle)
    and those of two documents or more are marked in a bit table of fixed size. The table only lets through: a false
    mark costs time, and no shared window is missed.
 2. Neighbouring windows under a marked anchor form a segment, sent to the shard of its anchor; anchors that occur very
-   often send each window to the shard of the window instead. Equal segments become one row with the smallest id.
+   often send each window to the shard of the window instead. A task collapses equal segments and sends each shard
+   one compressed block of words at a time; occurrences themselves are light rows without words.
 3. Each shard builds an FM-index over its distinct segments and streams the windows through backward search. A window
    that comes through whole has the interval of all suffixes that begin with it, and so the smallest document.
 4. Segments meet their occurrences again; windows with a smaller document are flagged, and each document gets the
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import textkernels as K
-from sievework.llm.common import by_slices, grouped, partitions, texts
+from sievework.llm.common import broadcast_if_small, by_slices, grouped, partitions, slices, texts
 from sievework.llm.fmindex import FMIndex
 from sievework.session import materialise
 
@@ -35,6 +37,7 @@ TABLE_BITS = 27  # of the bit table: 16 MB
 OFTEN = 512  # occurrences from which an anchor's windows are dealt one by one
 SEGMENT_WINDOWS = 16  # most windows in a segment, so that a bit mask holds them
 SHARD_SEGMENTS = 20_000
+HELD_BYTES = 24 << 20  # of segment words that a task holds before it packs them
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -121,20 +124,54 @@ def gather_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.A
     return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[at]))])
 
 
+def pack_block(words: pa.Array, lo: np.ndarray, hi: np.ndarray) -> bytes:
+    """Segments as one compressed block."""
+    import zstandard
+
+    sink = pa.BufferOutputStream()
+    table = pa.record_batch([words, pa.array(lo), pa.array(hi)], ["words", "lo", "hi"])
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_batch(table)
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+
+
+def unpack_block(data: bytes) -> pa.Table:
+    import zstandard
+
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all()
+
+
+def check_of(segments: pa.Array) -> np.ndarray:
+    """A second 64-bit hash of each segment, from other sums over the same bytes."""
+    data, offsets = K.buffers(segments)
+    return K.spans_hash(data[::-1], len(data) - offsets[1:], len(data) - offsets[:-1]).view(np.int64)
+
+
+def collapse(shard: np.ndarray | None, digest: np.ndarray, words: pa.Array, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One of each equal segment, in order of the shard: its place, smallest and largest id."""
+    order = np.lexsort((digest, shard)) if shard is not None else np.argsort(digest, kind="stable")
+    d = digest[order]
+    cuts = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+    return order[cuts], np.minimum.reduceat(lo[order], cuts), np.maximum.reduceat(hi[order], cuts)
+
+
 def cut_segments(source: DataFrame, shared: np.ndarray, often: np.ndarray, bits: int, shards: int, window: int, run: int) -> DataFrame:
-    """Every occurrence of a segment under a marked anchor: shard, key, digest, words, doc_id, row_key, first."""
+    """Every occurrence of a segment under a marked anchor (digest, check, doc_id, row_key, first), and, in rows with a
+    shard, blocks of the distinct segments of a stretch of rows."""
     spark = source.sparkSession
     shared_, often_ = spark.sparkContext.broadcast(shared), spark.sparkContext.broadcast(often)  # 2 ** bits bits each
+    names = ["digest", "check", "doc_id", "row_key", "first", "shard", "block"]
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def cut(batch: pa.RecordBatch):
         words = K.Words(batch.column(0))
         s = Segments(words, window, run)
         s.pick(marked(shared_.value, bits, s.anchor))
         if not len(s.first):
             return None
         single = marked(often_.value, bits, s.anchor)
+        plain = int((~single).sum())
         first = np.concatenate([s.first[~single], np.repeat(s.first[single], s.windows[single]) + spread(s.windows[single])])
-        windows = np.concatenate([s.windows[~single], np.ones(len(first) - int((~single).sum()), np.int64)])
+        windows = np.concatenate([s.windows[~single], np.ones(len(first) - plain, np.int64)])
         # The words of the batch, one space between: a span of words is a span of bytes.
         sizes = words.ends - words.starts
         begin = np.concatenate([[0], np.cumsum(sizes + 1)])
@@ -142,23 +179,40 @@ def cut_segments(source: DataFrame, shared: np.ndarray, often: np.ndarray, bits:
         flat[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)] = words.data[~K.SPACE[words.data]]
         starts, ends = begin[first], begin[first + windows + window - 1] - 1
         digest = K.spans_hash(flat, starts, ends)
-        key = np.concatenate([s.anchor[~single], K.mix(digest[int((~single).sum()) :])])
+        key = np.concatenate([s.anchor[~single], K.mix(digest[plain:])])
+        shard = (K.mix(key) % np.uint64(shards)).astype(np.int32)
         row = words.row[first]
-        return pa.record_batch(
-            [
-                pa.array((K.mix(key) % np.uint64(shards)).astype(np.int32)),
-                pa.array(key.view(np.int64)),
-                pa.array(digest.view(np.int64)),
-                gather_spans(flat, starts, ends),
-                batch.column(1).take(pa.array(row)),
-                batch.column(2).take(pa.array(row)),
-                pa.array((first - words.first[row]).astype(np.int32)),
-            ],
-            ["shard", "key", "digest", "words", "doc_id", "row_key", "first"],
-        )
-
-    schema = "shard int, key long, digest long, words string, doc_id long, row_key long, first int"
-    return source.select("text", "doc_id", F.xxhash64("text").alias("row_key")).mapInArrow(by_slices(cut), schema)
+        ids = batch.column(1).to_numpy()[row]
+        segments = gather_spans(flat, starts, ends)
+        light = pa.record_batch([pa.array(digest.view(np.int64)), pa.array(check_of(segments)), pa.array(ids), batch.column(2).take(pa.array(row)), pa.array((first - words.first[row]).astype(np.int32)), pa.nulls(len(row), pa.int32()), pa.nulls(len(row), pa.binary())], names)
+        return light, (shard, digest, segments, ids)
+
+    def blocks(held: list) -> Iterator[pa.RecordBatch]:
+        shard, digest, ids = (np.concatenate([h[i] for h in held]) for i in (0, 1, 3))
+        words = pa.chunked_array([h[2] for h in held]).combine_chunks()
+        at, lo, hi = collapse(shard, digest, words, ids, ids)
+        words, shard = words.take(pa.array(at)), shard[at]
+        cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+        data = [pack_block(words.slice(a, b - a), lo[a:b], hi[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        n = len(data)
+        yield pa.record_batch([*(pa.nulls(n, pa.int64()) for _ in range(4)), pa.nulls(n, pa.int32()), pa.array(shard[cuts[:-1]]), pa.array(data, pa.binary())], names)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for piece in slices(batch):
+                if (got := cut(piece)) is not None:
+                    yield got[0]
+                    held.append(got[1])
+                    size += got[1][2].nbytes
+                    if size > HELD_BYTES:
+                        yield from blocks(held)
+                        held, size = [], 0
+        if held:
+            yield from blocks(held)
+
+    schema = "digest long, check long, doc_id long, row_key long, first int, shard int, block binary"
+    return source.select("text", "doc_id", "row_key").mapInArrow(task, schema)
 
 
 def spread(counts: np.ndarray) -> np.ndarray:
@@ -191,38 +245,52 @@ def smallest_document(words: pa.Array, lo: np.ndarray, window: int) -> tuple[np.
     return out, np.concatenate([[0], np.cumsum(windows)])
 
 
-def search_shards(segments: DataFrame, window: int) -> DataFrame:
-    """key, digest, smallest array<long>: of segments with a window that some occurrence's document is not the first of."""
+def search_shards(blocks: DataFrame, window: int) -> DataFrame:
+    """digest, check, smallest array<long>: of segments with a window that some occurrence's document is not the first of."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "shard"):
-            lo, hi = table["lo"].to_numpy(), table["hi"].to_numpy()
-            least, cuts = smallest_document(table["words"].combine_chunks(), lo, window)
+            rows = pa.concat_tables([unpack_block(data) for data in table["block"].to_pylist()]).combine_chunks()
+            words = rows["words"].combine_chunks()
+            data, offsets = K.buffers(words)
+            digest = K.spans_hash(data, offsets[:-1], offsets[1:])
+            at, lo, hi = collapse(None, digest, words, rows["lo"].to_numpy(), rows["hi"].to_numpy())
+            words, digest = words.take(pa.array(at)), digest[at]
+            least, cuts = smallest_document(words, lo, window)
             useful = np.flatnonzero(np.minimum.reduceat(least, cuts[:-1]) < hi)
             lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(least))
-            out = pa.record_batch([table["key"].combine_chunks(), table["digest"].combine_chunks(), lists], ["key", "digest", "smallest"])
-            yield out.take(pa.array(useful))
+            yield pa.record_batch([pa.array(digest.view(np.int64)), pa.array(check_of(words)), lists], ["digest", "check", "smallest"]).take(pa.array(useful))
+
+    n = partitions(blocks.sparkSession)
+    return blocks.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(search, "digest long, check long, smallest array<long>")
 
-    n = partitions(segments.sparkSession)
-    return segments.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(run, "key long, digest long, smallest array<long>")
+
+def copies_of(source: DataFrame) -> DataFrame:
+    """(doc_id, row_key) of rows whose whole text an earlier id has, by two 64-bit hashes of the text."""
+    keyed = source.select("doc_id", "row_key", F.xxhash64(F.lit(1), "text").alias("check"))
+    groups = keyed.groupBy("row_key", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    return keyed.join(groups, ["row_key", "check"]).where("doc_id > least").select("doc_id", "row_key").distinct()
 
 
 def flagged_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN, bits: int = TABLE_BITS, often: int = OFTEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_key, flags array<struct<first, mask>>: windows that also start in a document with a smaller id.
+    """doc_id, row_key, copy, flags array<struct<first, mask>>: windows that also start in a document with a smaller
+    id; copy: all of them.
 
     row_key is xxhash64 of the text, so that rows which repeat an id with another text keep apart.
     """
-    source = texts(docs, id_col, text_col).where("doc_id is not null")
+    source = texts(docs, id_col, text_col).where("doc_id is not null").withColumn("row_key", F.xxhash64("text"))
+    copies = materialise(copies_of(source), "copies")
+    source = source.join(broadcast_if_small(copies, copies.count(), 24), ["doc_id", "row_key"], "left_anti")
     anchors = materialise(count_anchors(source, window, run).where("lo < hi").select("anchor", "n"), "anchors")
     total = anchors.agg(F.sum("n")).first()[0] or 0
     shards = max(4 * partitions(docs.sparkSession), total // SHARD_SEGMENTS + 1)
-    cut = cut_segments(source, bit_table(anchors, bits), bit_table(anchors.where(F.col("n") > often), bits), bits, shards, window, run)
-    occurrences = materialise(cut, "segments")
-    distinct = occurrences.groupBy("shard", "key", "digest", "words").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    found = search_shards(distinct, window)
+    cut = materialise(cut_segments(source, bit_table(anchors, bits), bit_table(anchors.where(F.col("n") > often), bits), bits, shards, window, run), "segments")
+    found = search_shards(cut.where("shard is not null").select("shard", "block"), window)
     mask = F.expr("aggregate(sequence(0, size(smallest) - 1), 0, (m, i) -> m | if(smallest[i] < doc_id, shiftleft(1, i), 0))")
-    flags = occurrences.select("key", "digest", "doc_id", "row_key", "first").join(found, ["key", "digest"]).select("doc_id", "row_key", "first", mask.alias("mask")).where("mask <> 0")
-    return flags.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("first", "mask")).alias("flags"))
+    occurrences = cut.where("shard is null").select("digest", F.col("check"), "doc_id", "row_key", "first")
+    flags = occurrences.join(found, ["digest", "check"]).select("doc_id", "row_key", "first", mask.alias("mask")).where("mask <> 0")
+    flags = flags.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("first", "mask")).alias("flags"))
+    return flags.select("doc_id", "row_key", F.lit(False).alias("copy"), "flags").unionByName(copies.withColumns({"copy": F.lit(True), "flags": F.lit(None).cast("array<struct<first:int,mask:int>>")}))
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:
@@ -234,24 +302,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     """
     source = texts(docs, id_col, text_col)
     flags = flagged_windows(docs, window, id_col=id_col, text_col=text_col, **settings)
-    rows = source.withColumn("row_key", F.xxhash64("text")).join(flags, ["doc_id", "row_key"], "left").select("text", "doc_id", "flags")
+    rows = source.withColumn("row_key", F.xxhash64("text")).join(flags, ["doc_id", "row_key"], "left").select("text", "doc_id", "flags", F.coalesce("copy", F.lit(False)).alias("copy"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = K.Words(batch.column(0))
-        covered = covered_words(words, batch.column(2), window)
-        sizes = words.ends - words.starts
-        keep = ~covered
-        left = np.bincount(words.row[keep], minlength=words.rows)
-        # Kept words, one space between and none after the last of a row.
-        wide = sizes[keep] + 1
-        last = np.cumsum(left)[left > 0] - 1
-        wide[last] -= 1
-        begin = np.concatenate([[0], np.cumsum(wide)])
-        flat = np.full(begin[-1], 32, np.uint8)
-        held = sizes[keep]
-        flat[np.repeat(begin[:-1], held) + spread(held)] = words.data[np.repeat(words.starts[keep], held) + spread(held)]
-        cuts = begin[np.concatenate([[0], np.cumsum(left)])]
-        kept = pa.Array.from_buffers(pa.string(), words.rows, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(flat)])
+        words, covered, left, kept = apply_flags(batch.column(0), batch.column(2), batch.column(3), window)
         starts, stops, row = spans(covered, words)
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(words.rows + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(starts.astype(np.int32)), pa.array(stops.astype(np.int32))], ["start", "stop"]))
         return pa.record_batch([batch.column(1), pa.array(words.count.astype(np.int64)), pa.array((words.count - left).astype(np.int64)), lists, kept], ["doc_id", "n_words", "n_removed", "removed", "kept"])
@@ -259,6 +313,50 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     return rows.mapInArrow(by_slices(run), "doc_id long, n_words long, n_removed long, removed array<struct<start:int,stop:int>>, kept string")
 
 
+def cut_documents(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **settings: int) -> DataFrame:
+    """``docs`` with all their columns and the flagged words taken out of their texts.
+
+    A text that loses words becomes its other words, one space between, and ``length_col``, if there is such a
+    column, their length; other rows stay as they are. A document that loses every word is left out.
+    """
+    flags = flagged_windows(docs, window, id_col=id_col, text_col=text_col, **settings)
+    renamed = flags.select(F.col("doc_id").alias("_flag_id"), F.col("row_key").alias("_flag_key"), F.col("copy").alias("_flag_copy"), F.col("flags").alias("_flags"))
+    same = (F.col(id_col).cast("long") == F.col("_flag_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_flag_key"))
+    rows = docs.join(renamed, same, "left").drop("_flag_id", "_flag_key")
+    names, schema = docs.columns, docs.schema
+    place = names.index(text_col)
+    size = names.index(length_col) if length_col in names else None
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        text = batch.column(place)
+        words, covered, left, kept = apply_flags(text.fill_null(""), batch.column(len(names) + 1), batch.column(len(names)).fill_null(False), window)
+        changed = pa.array(left < words.count)
+        columns = list(batch.columns[: len(names)])
+        columns[place] = pc.if_else(changed, kept, text)
+        if size is not None:
+            columns[size] = pc.if_else(changed, pc.utf8_length(kept).cast(columns[size].type), columns[size])
+        return pa.record_batch(columns, names).filter(pa.array((left > 0) | (words.count == 0)))
+
+    return rows.mapInArrow(by_slices(run, column=text_col), schema)
+
+
+def apply_flags(texts_: pa.Array, flags: pa.Array, copy: pa.Array, window: int) -> tuple[K.Words, np.ndarray, np.ndarray, pa.Array]:
+    """The words of each text, which are covered, how many are left, and the kept words with one space between."""
+    words = K.Words(texts_)
+    covered = covered_words(words, flags, window) | (np.asarray(copy).astype(bool) & (words.count >= window))[words.row]
+    sizes = words.ends - words.starts
+    keep = ~covered
+    left = np.bincount(words.row[keep], minlength=words.rows)
+    wide = sizes[keep] + 1
+    wide[np.cumsum(left)[left > 0] - 1] -= 1  # no space behind the last word of a row
+    begin = np.concatenate([[0], np.cumsum(wide)])
+    flat = np.full(begin[-1], 32, np.uint8)
+    held = sizes[keep]
+    flat[np.repeat(begin[:-1], held) + spread(held)] = words.data[np.repeat(words.starts[keep], held) + spread(held)]
+    cuts = begin[np.concatenate([[0], np.cumsum(left)])]
+    return words, covered, left, pa.Array.from_buffers(pa.string(), words.rows, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(flat)])
+
+
 def covered_words(words: K.Words, flags: pa.Array, window: int) -> np.ndarray:
     """True at each word that a flagged window covers."""
     n = len(words.starts)
