@@ -37,7 +37,7 @@ TABLE_BITS = 27  # of the bit table: 16 MB
 OFTEN = 512  # occurrences from which an anchor's windows are dealt one by one
 SEGMENT_WINDOWS = 16  # most windows in a segment, so that a bit mask holds them
 SHARD_SEGMENTS = 20_000
-HELD_BYTES = 24 << 20  # of segment words that a task holds before it packs them
+HELD_BYTES = 12 << 20  # of segment words that a task holds before it packs them
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -96,7 +96,7 @@ def count_anchors(source: DataFrame, window: int, run: int) -> DataFrame:
         n = np.diff(np.append(cuts, len(key)))
         return pa.record_batch([pa.array(key[cuts].view(np.int64)), pa.array(np.minimum.reduceat(ids, cuts)), pa.array(np.maximum.reduceat(ids, cuts)), pa.array(n)], ["anchor", "lo", "hi", "n"])
 
-    rows = source.select("text", "doc_id").mapInArrow(by_slices(slice_counts, limit=8 << 20), "anchor long, lo long, hi long, n long")
+    rows = source.select("text", "doc_id").mapInArrow(by_slices(slice_counts), "anchor long, lo long, hi long, n long")
     return rows.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
 
 

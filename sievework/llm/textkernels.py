@@ -58,8 +58,10 @@ def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     lengths = ends - starts
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     total = int(lengths.sum())
-    place = np.arange(total) - np.repeat(first, lengths)
-    value = BYTE[data[np.repeat(starts, lengths) + place]] * powers(int(lengths.max()))[place]
+    kind = np.int32 if len(data) < 2**31 and total < 2**31 else np.int64
+    place = np.arange(total, dtype=kind) - np.repeat(first.astype(kind), lengths)
+    value = BYTE[data[np.repeat(starts.astype(kind), lengths) + place]]
+    value *= powers(int(lengths.max()))[place]
     return mix(np.add.reduceat(value, first) + lengths.astype(np.uint64))
 
 
