@@ -105,3 +105,17 @@ def exact_dedup(
         (F.col("doc_id").eqNullSafe(F.coalesce("keep_id", "doc_id"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text no row with a larger id has.
+
+    Of rows that repeat both id and text one stays.
+    """
+    decided = materialise(exact_dedup(docs, id_col, text_col), "dedup-decisions")
+    dropped = decided.where(~F.col("kept")).select(F.col("doc_id").alias("_dropped_id"), F.col("text_sha256").alias("_dropped_sha"))
+    gone = broadcast_if_small(dropped, dropped.count(), 96)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_dropped_id")) & (F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("_dropped_sha"))
+    left = docs.join(gone, same, "left_anti")
+    repeated = decided.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return left if repeated.isEmpty() else left.dropDuplicates([id_col, text_col])
