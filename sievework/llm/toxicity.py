@@ -22,7 +22,7 @@ from sievework.llm.common import by_slices, texts
 from sievework.llm.linear import labelled_sample, sigmoid
 
 #: Most labelled rows that a model is learnt from, and the number of passes over them.
-SAMPLE, PASSES = 12_000, 3
+SAMPLE, PASSES = 12_000, 8
 BITS = 20
 STEMS = (4, 6)
 #: Scores from here up count as toxic.
@@ -66,13 +66,15 @@ class Sparse:
         return sigmoid(np.bincount(pair >> BITS, value, n) + self.bias)
 
 
-def ftrl(rows: list[np.ndarray], y: np.ndarray, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, passes: int = PASSES, seed: int = 11) -> Sparse:
+def ftrl(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, passes: int = PASSES, seed: int = 11) -> Sparse:
     """FTRL-proximal over rows of distinct buckets, in a seeded order for each pass.
 
-    Without rows of both labels the model is constant: 0 if none is labelled 1, else 1.
+    Only features of two rows or more take part. Without rows of both labels the model is constant: 0 if none is labelled 1, else 1.
     """
     if len(set(y.tolist())) < 2:
         return Sparse(np.zeros(0, np.int64), np.zeros(0), 20.0 if len(y) and y[0] == 1 else -20.0)
+    often = np.bincount(np.concatenate(rows), minlength=1 << BITS) >= 2
+    rows = [r[often[r]] for r in rows]
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     zb = nb = 0.0
     rng = np.random.default_rng(seed)
