@@ -6,15 +6,21 @@ ids of the pieces it has met (a bounded memo) and hands only new pieces to the l
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import string
 from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Most pieces, and longest piece, that a worker remembers.
+#: Most pieces of one generation of the memo (two are kept), and longest piece, that a worker remembers.
 MEMO, MEMO_CHARS = 300_000, 40
+#: Texts with such characters are not lowered ahead of the tokenizer: composition or special tokens might change.
+ODD = re.compile("[\u0300-\U0010ffff]|<\\|")
+MARKS = string.punctuation
 _encoders: dict[str, Encoder] = {}
 
 
@@ -25,23 +31,71 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        plan = json.loads(self.tokenizer.to_str())
+        self.lowers = "Lowercase" in json.dumps(plan["normalizer"])
+        suffix = plan["model"].get("end_of_word_suffix") or ""
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def each(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def plain_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only. Each is one pre-token and so ends with its only end-of-word token: many go to
+        the library as one text. Where the number of ends is not that of the words, they go one by one."""
+        out: list[bytes] = []
+        for a in range(0, len(words), 256):
+            part = words[a : a + 256]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            if len(cuts) == len(part) + 1 and cuts[-1] == 4 * len(ids):
+                data = ids.tobytes()
+                out += [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+            else:
+                out += self.each(part)
+        return out
+
+    def learn(self, pieces: list[str]) -> None:
+        """Put the ids of pieces into the memo: words, words with marks behind (a run of marks is one pre-token, too), and
+        all others."""
+        memo, older = self.memo, self.older
+        marked, bases, others = [], set(), []
+        for piece in pieces:
+            if (known := older.get(piece)) is not None:
+                memo[piece] = known
+            elif piece.isalpha():
+                bases.add(piece)
+            elif (base := piece.rstrip(MARKS)) is not piece and base.isalpha():
+                marked.append((piece, base, piece[len(base) :]))
+                if base not in memo:
+                    bases.add(base)
+            else:
+                others.append(piece)
+        words = list(bases)
+        memo.update(zip(words, self.plain_words(words), strict=True))
+        memo.update(zip(others, self.each(others), strict=True))
+        tails = list({tail for _, _, tail in marked})
+        known = dict(zip(tails, self.each(tails), strict=True))
+        for piece, base, tail in marked:
+            memo[piece] = memo[base] + known[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers, without special tokens."""
+        if self.lowers:
+            texts = [t if ODD.search(t) else t.lower() for t in texts]
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*pieces)
-        if len(self.memo) + len(wanted) > 2 * MEMO:
-            self.memo = {"": b""}
-        memo = self.memo
-        new = [p for p in wanted if p not in memo]
-        for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[piece] = array("I", got.ids).tobytes()
-        out = [b"".join(map(memo.__getitem__, p)) for p in pieces]
+        new = [p for p in set().union(*pieces) if p not in self.memo]
+        self.learn(new)
+        out = [b"".join(map(self.memo.__getitem__, p)) for p in pieces]
         for piece in new:
             if len(piece) > MEMO_CHARS:
-                del memo[piece]
-        if len(memo) > MEMO:
-            self.memo = {"": b""}
+                self.memo.pop(piece, None)
+                self.memo.pop(piece.rstrip(MARKS), None)
+        if len(self.memo) > MEMO:
+            self.older, self.memo = self.memo, {"": b""}
         return out
 
 
