@@ -170,9 +170,10 @@ def typed(value: Any) -> Any:
 def check_query(schema: Schema, query: Mapping[str, Any]) -> None:
     """Raise if a value does not fit the field of its name; names outside the schema are ignored."""
     for name, value in query.items():
-        f, v = schema.field(name), typed(value)
-        if f is None or v is None:
+        f = schema.field(name)
+        if f is None or value is None:
             continue
+        v = typed(value)
         fits = {
             Categorical: lambda: isinstance(v, str),
             Text: lambda: isinstance(v, str),

@@ -45,7 +45,7 @@ def document_stats(records: DataFrame, retrieved: DataFrame, feedback: DataFrame
     r = in_window(records, since, until)
     seen = retrieved.join(r.select("retrieval_id", "ts"), "retrieval_id")
     base = seen.groupBy("doc").agg(F.count(F.lit(1)).alias("retrievals"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.avg("score").alias("avg_score"))
-    judged = in_window(feedback, since).join(r, "retrieval_id", "left_semi").groupBy("doc").agg(*outcome_counts())
+    judged = in_window(last_feedback(feedback), since).join(r, "retrieval_id", "left_semi").groupBy("doc").agg(*outcome_counts())
     names = [o.lower() for o in OUTCOMES]
     return base.join(judged, "doc", "left").fillna(0, names)
 
@@ -91,7 +91,7 @@ def query_frequency(records: DataFrame, retrieved: DataFrame) -> DataFrame:
 def correlation_graph(records: DataFrame, retrieved: DataFrame, feedback: DataFrame, since: Any = None, until: Any = None) -> DataFrame:
     """Edges (query in lower case and stripped, doc): co-occurrences, mean score, outcomes; feedback from the window."""
     r = in_window(records, since, until).select("retrieval_id", F.lower(F.trim("query_text")).alias("query"))
-    judged = in_window(feedback, since, until).select("retrieval_id", "doc", "outcome")
+    judged = in_window(last_feedback(feedback), since, until).select("retrieval_id", "doc", "outcome")
     rows = retrieved.join(r, "retrieval_id").join(judged, ["retrieval_id", "doc"], "left")
     return rows.groupBy("query", "doc").agg(F.count(F.lit(1)).alias("together"), F.avg("score").alias("avg_score"), *outcome_counts())
 

@@ -78,12 +78,12 @@ def convex(df: DataFrame, weights: Mapping[str, float] | None = None, top_k: int
     w = Window.partitionBy(*by, "leg")
     low, high = F.min("score").over(w), F.max("score").over(w)
     scaled = df.withColumn("_s", F.when(high == low, 1.0).otherwise((F.col("score") - low) / (high - low))).withColumn("_w", _weight(weights))
-    if total is None:
-        legs_ = F.size(F.collect_set("leg").over(Window.partitionBy(*by)))
-        share = F.col("_w") / legs_
+    if total is None:  # equal weights over the legs that have rows
+        count = df.groupBy(*by).agg(F.count_distinct("leg").alias("_total"))
+        scaled = scaled.join(F.broadcast(count), list(by)) if by else scaled.crossJoin(F.broadcast(count))  # one row a query
     else:
-        share = F.col("_w") / total
-    return top(scaled.groupBy(*by, "id").agg(F.sum(share * F.col("_s")).alias("score")), top_k, by)
+        scaled = scaled.withColumn("_total", F.lit(total))
+    return top(scaled.groupBy(*by, "id").agg(F.sum(F.col("_w") / F.col("_total") * F.col("_s")).alias("score")), top_k, by)
 
 
 def distribution(df: DataFrame, top_k: int | None = None, by: Sequence[str] = ()) -> DataFrame:
