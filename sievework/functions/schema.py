@@ -83,7 +83,7 @@ class TimeSeries:
     band: int | None = None  # Sakoe-Chiba
     slope: float | None = None  # Itakura
     trends: tuple[str, ...] = ()
-    step: float = 1.0  # usual distance of two observations, for the ranges of trends
+    longest: float = 31_536_000.0  # upper end of the duration trend: a year, in the unit of the time field
 
 
 @dataclass(frozen=True)
@@ -125,30 +125,26 @@ class Schema:
                     name = trend_name(f.name, kind, g.name if g else None)
                     if name not in names:
                         names.add(name)
-                        more.append(Numeric(name, *trend_range(kind, g, f.step)))
+                        more.append(Numeric(name, *trend_range(kind, g, f.longest)))
         return Schema(self.case_type, self.fields + tuple(more), self.learning_rate)
 
 
-def trend_range(kind: str, inner: Numeric | None, step: float) -> tuple[float, float]:
-    """A plausible range of a derived trend, from the range of its field."""
+def trend_range(kind: str, inner: Numeric | None, longest: float) -> tuple[float, float]:
+    """The range of a derived numeric field, from the range of its source field."""
     if kind not in KINDS:
         raise ValueError(kind)
     width = inner.high - inner.low if inner else 0.0
-    return {
-        "slope": (-width / step, width / step),
-        "delta": (-width, width),
-        "volatility": (0.0, width / 2),
-        "acceleration": (-width / step**2, width / step**2),
-        "change_points": (0.0, 10.0),
-        "duration": (0.0, 100 * step),
-        "count": (0.0, 100.0),
-    }[kind]
-
-
-#: A preset of seven categorical fields for changes of personality.
+    if kind in ("slope", "delta", "acceleration"):
+        return -width, width
+    if kind == "volatility":
+        return 0.0, width
+    return (0.0, longest) if kind == "duration" else (0.0, 1000.0)
+
+
+#: The preset for changes of personality.
 PERSONALITY_TRANSITION = Schema(
     "personality-transition",
-    tuple(Categorical(n) for n in ("agent_role", "from_profile", "to_profile", "trigger", "context", "intensity", "outcome")),
+    tuple(Categorical(n) for n in ("agent_id", "old_dominant", "new_dominant", "old_auxiliary", "new_auxiliary", "trigger_type", "outcome")),
 )
 
 

@@ -122,6 +122,18 @@ def best_plan(scored: DataFrame, plan: str = "plan") -> DataFrame:
     return scored.agg(F.max_by(plan, F.struct("score", F.negative("case_id"))).alias("plan"), F.max("score").alias("score"), F.count(F.lit(1)).alias("cases"))
 
 
+#: What an adaptation does to a step.
+ACTIONS = ("RETAINED", "SUBSTITUTED", "BOOSTED", "SUPPRESSED", "ADDED", "REMOVED")
+
+
+def adapted(df: DataFrame, plan: str = "plan", adapter: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Cases with ``adapted``: their plan's steps (structs) with an action and a reason. An adapter maps a step to a
+    struct of action and reason; without one every step is retained."""
+    keep = lambda _: F.struct(F.lit("RETAINED").alias("action"), F.lit(None).cast("string").alias("reason"))
+    made = F.transform(F.col(plan), lambda s: F.struct(s.alias("step"), (adapter or keep)(s)["action"].alias("action"), (adapter or keep)(s)["reason"].alias("reason")))
+    return df.withColumn("adapted", made)
+
+
 def step_consensus(steps: DataFrame, step: str = "step") -> DataFrame:
     """Per plan step (rows case_id, step, worker, outcome, priority): occurrences, histograms of workers, outcomes and
     priorities, and the cases it comes from."""

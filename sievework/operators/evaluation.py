@@ -109,3 +109,9 @@ def pair_gap(df: DataFrame, related: str = "related", score: str = "score", by:
 
 def tokens_per_identifier(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     return df.agg(F.avg(F.size(tokens)).alias("mean_tokens"), F.avg((F.size(tokens) == 1).cast("double")).alias("whole"))
+
+
+def encoded(df: DataFrame, key: str, catalogue: dict[str, Sequence[float]], default: Sequence[float], name: str = "features") -> DataFrame:
+    """With a feature vector looked up by a key; an unknown key gets the default."""
+    table = F.create_map(*[x for k, v in catalogue.items() for x in (F.lit(k), F.lit([float(a) for a in v]))])
+    return df.withColumn(name, F.coalesce(F.try_element_at(table, F.col(key)), F.lit([float(a) for a in default])))

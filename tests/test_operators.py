@@ -270,3 +270,13 @@ def test_evaluation(spark):
     assert [r["count"] for r in counts.orderBy("s").collect()] == [0, 1, 2, 1, 0, 0, 1]
     assert spark.range(1).select(E.cascade(F.lit(None).cast("string"), F.lit("l"), F.lit(0.5)).alias("v")).first()["v"] is None
     assert E.pair_gap(spark.createDataFrame([(True, 0.9), (False, 0.4)], "related boolean, score double")).first()["gap"] == pytest.approx(0.5)
+
+
+def test_adaptation_and_lookup(spark):
+    df = spark.createDataFrame([("c", [("a", 1), ("b", 2)])], "case_id string, plan array<struct<binding:string,priority:int>>")
+    kept = C.adapted(df).first()["adapted"]
+    assert [(s["step"]["binding"], s["action"], s["reason"]) for s in kept] == [("a", "RETAINED", None), ("b", "RETAINED", None)]
+    other = C.adapted(df, adapter=lambda s: F.struct(F.when(s["priority"] > 1, "BOOSTED").otherwise("RETAINED").alias("action"), F.lit("r").alias("reason"))).first()["adapted"]
+    assert [s["action"] for s in other] == ["RETAINED", "BOOSTED"]
+    got = E.encoded(spark.createDataFrame([("x",), ("y",)], "m string"), "m", {"x": [1, 0]}, [0.5, 0.5])
+    assert [r["features"] for r in got.orderBy("m").collect()] == [[1.0, 0.0], [0.5, 0.5]]

@@ -136,3 +136,15 @@ def test_quarantine_stream(spark, tmp_path):
     rows = spark.readStream.schema("v int").parquet(str(tmp_path / "in"))
     jobs.append_valid(rows, F.col("v") > 0, str(tmp_path / "ok"), str(tmp_path / "bad"), str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "ok")).count() == 1 and spark.read.parquet(str(tmp_path / "bad")).count() == 1
+
+
+def test_binding(spark, tmp_path):
+    from sievework.sources.binding import Binding, Ingestion, Storage
+
+    (tmp_path / "a.md").write_text("text " * 10)
+    b = Binding("t", "c", str(tmp_path))
+    assert b.chunks(spark).select("tenant_id", "source_document_id", "chunk_index").collect() == [("t", "a.md", 0)]
+    assert Binding("t", "c", str(tmp_path), mode=Ingestion.NONE).chunks(spark, manual=True) is None
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("1/doc.md", "one")
+    assert [r["path"] for r in Binding("t", "c", str(tmp_path), Storage.ZIP).documents(spark).collect()] == ["doc.md"]
