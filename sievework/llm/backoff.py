@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import textkernels as K
-from sievework.llm.common import grouped, partitions, slices, texts
+from sievework.llm.common import grouped, partitions, slices, task, texts
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 BLOCK_BYTES = 4 << 20
@@ -115,7 +115,7 @@ def requests(source: DataFrame, parts: int, order: int, bits: int) -> DataFrame:
             n = len(grams.words.starts)
             yield pa.record_batch([pa.array(range(parts), pa.int32()), pa.array([block] * parts, pa.int64()), pa.array([mark] * parts, pa.int64()), pa.array([n] * parts, pa.int64()), pa.array(rows, pa.list_(pa.binary()))], ["part", "block", "mark", "tokens", "payloads"])
 
-    return source.mapInArrow(run, "part int, block long, mark long, tokens long, payloads array<binary>")
+    return source.mapInArrow(task(run), "part int, block long, mark long, tokens long, payloads array<binary>")
 
 
 PART_BITS = 20
@@ -146,7 +146,7 @@ def count_tables(asked: DataFrame, order: int) -> DataFrame:
                 yield pa.record_batch([pa.array(part[a : a + m]), pa.array(block[a : a + m]), pa.array(mark[a : a + m]), pa.array([tokens] * m, pa.int64()), pa.array(answers[a : a + m], pa.list_(pa.binary()))], ["part", "block", "mark", "tokens", "payloads"])
 
     n = partitions(asked.sparkSession)
-    return asked.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, asked.schema)
+    return asked.repartition(n, "part").sortWithinPartitions("part").mapInArrow(task(run), asked.schema)
 
 
 def block_texts(source: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def block_texts(source: DataFrame) -> DataFrame:
             data = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
             yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([block], pa.int64()), pa.array([mark], pa.int64()), pa.array([0], pa.int64()), pa.array([[data]], pa.list_(pa.binary()))], ["part", "block", "mark", "tokens", "payloads"])
 
-    return source.mapInArrow(run, "part int, block long, mark long, tokens long, payloads array<binary>")
+    return source.mapInArrow(task(run), "part int, block long, mark long, tokens long, payloads array<binary>")
 
 
 def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, bits: int = HASH_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,6 +192,6 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, mi
             yield pa.record_batch([held.column(1), pa.array(n.astype(np.int64)), pa.array(score), mean], ["doc_id", "n_tokens", "log_score", "mean_log"])
 
     n = partitions(docs.sparkSession)
-    return rows.repartition(n, "block").sortWithinPartitions("block", "part").mapInArrow(run, "doc_id long, n_tokens long, log_score double, mean_log double")
+    return rows.repartition(n, "block").sortWithinPartitions("block", "part").mapInArrow(task(run), "doc_id long, n_tokens long, log_score double, mean_log double")
 
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from sievework.llm import textkernels as K
-from sievework.llm.common import by_slices, texts
+from sievework.llm.common import MEMOS, by_slices, texts
 
 #: Most pre-tokens, and longest pre-token in bytes, that a worker remembers.
 MEMO, MEMO_BYTES = 300_000, 48
@@ -162,6 +162,9 @@ class Codec:
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
+MEMOS["bytes"] = _codecs.clear
+
+
 def codec(path: str, pattern: str) -> Codec:
     """This worker's codec."""
     if (path, pattern) not in _codecs:
@@ -187,7 +190,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         return pa.record_batch(out, ["doc_id", "ids", "decoded"][: len(out)])
 
     schema = "doc_id long, ids array<int>" + ", decoded binary" * decoded
-    return texts(docs, id_col, text_col).select("text", "doc_id").mapInArrow(by_slices(run), schema)
+    return texts(docs, id_col, text_col).select("text", "doc_id").mapInArrow(by_slices(run, keeps=["bytes"]), schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import textkernels as K
-from sievework.llm.common import broadcast_if_small, by_slices, grouped, partitions, texts
+from sievework.llm.common import broadcast_if_small, by_slices, grouped, partitions, task, texts
 from sievework.plans.components import connected_components
 from sievework.session import materialise
 
@@ -119,7 +119,7 @@ def root_buckets(classes: DataFrame, runs: int, threshold: float) -> DataFrame:
                 member, path = children(np.full(len(ids), root), drawn, threshold)
                 yield pa.record_batch([pa.array(path.view(np.int64)), pa.array(ids[member])], ["path", "rep"])
 
-    return classes.select("rep", "sketch").mapInArrow(run, "path long, rep long")
+    return classes.select("rep", "sketch").mapInArrow(task(run), "path long, rep long")
 
 
 def split_buckets(members: DataFrame, threshold: float, agree: int) -> tuple[DataFrame, DataFrame]:
@@ -138,7 +138,7 @@ def split_buckets(members: DataFrame, threshold: float, agree: int) -> tuple[Dat
             member, onward = children(path[rest].view(np.uint64), drawn[rest], threshold)
             yield pa.record_batch([pa.array(rep[rest][member]), pa.nulls(len(member), pa.int64()), pa.array(onward.view(np.int64))], ["a", "b", "path"])
 
-    out = materialise(members.mapInArrow(run, "a long, b long, path long"), "paths-split")
+    out = materialise(members.mapInArrow(task(run), "a long, b long, path long"), "paths-split")
     return out.where("b is not null").select("a", "b"), out.where("path is not null").select("path", F.col("a").alias("rep"))
 
 
@@ -173,7 +173,7 @@ def brute_force(buckets: DataFrame, agree: int) -> DataFrame:
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     n = partitions(buckets.sparkSession)
-    return buckets.repartition(n, "path").sortWithinPartitions("path").mapInArrow(run, "a long, b long")
+    return buckets.repartition(n, "path").sortWithinPartitions("path").mapInArrow(task(run), "a long, b long")
 
 
 def in_blocks(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
@@ -267,7 +267,7 @@ def verify(members: DataFrame, size: int, threshold: float, block: int) -> DataF
     columns = ["pair", "rep", "copies", "own", "other", "several", "text"]
     spark = members.sparkSession
     rows = dealt.select(*columns).repartition(partitions(spark), "pair").sortWithinPartitions("pair")
-    return rows.mapInArrow(run, "rep long, label long, links long, several boolean")
+    return rows.mapInArrow(task(run), "rep long, label long, links long, several boolean")
 
 
 def jaccard_groups(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL, depth: int = DEPTH, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,36 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20, ro
         yield batch.slice(a, b - a)
 
 
-def by_slices(function: Callable[[pa.RecordBatch], pa.RecordBatch | None], limit: int = 2 << 20, column: str = "text", rows: int = 4096):
+#: What a worker remembers between tasks, by name: functions that forget it.
+MEMOS: dict[str, Callable[[], None]] = {}
+
+
+def release() -> None:
+    """Give memory that is free but held by the allocators back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: Sequence[str] = ()):
+    """A mapInArrow function that drops other operators' memos when it begins and free memory when it ends, so that
+    workers which Spark uses again do not grow from stage to stage."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, forget in MEMOS.items():
+            if name not in keeps:
+                forget()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return bounded
+
+
+def by_slices(function: Callable[[pa.RecordBatch], pa.RecordBatch | None], limit: int = 2 << 20, column: str = "text", rows: int = 4096, keeps: Sequence[str] = ()):
     """A mapInArrow function that applies ``function`` to bounded runs of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +83,7 @@ def by_slices(function: Callable[[pa.RecordBatch], pa.RecordBatch | None], limit
                 if out is not None and out.num_rows:
                     yield out
 
-    return run
+    return task(run, keeps)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

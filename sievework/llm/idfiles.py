@@ -23,7 +23,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import partitions, slices, texts
+from sievework.llm.common import partitions, slices, task, texts
 from sievework.llm.wordids import encode_column
 from sievework.session import shared_path
 
@@ -162,7 +162,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end:
     source = texts(docs, id_col, text_col)
     n = max(partitions(spark), 1)
     ordered = source.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").select(F.spark_partition_id().alias("shard"), "doc_id", "text")
-    rows = sorted(tuple(r) for r in ordered.mapInArrow(run, "shard int, file string, documents long, n_ids long").collect())  # one row a shard
+    rows = sorted(tuple(r) for r in ordered.mapInArrow(task(run, ["words"]), "shard int, file string, documents long, n_ids long").collect())  # one row a shard
     starts = np.concatenate([[0], np.cumsum([r[3] for r in rows])]).tolist()
     return spark.createDataFrame([(*r, s) for r, s in zip(rows, starts, strict=False)], "shard int, file string, documents long, n_ids long, start long")
 

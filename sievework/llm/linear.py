@@ -96,9 +96,10 @@ def collect_features(sample: DataFrame, features: Callable[[pa.Array], np.ndarra
         return pa.record_batch([batch.column(1), pa.array(at, pa.binary()), pa.array(values, pa.binary())], ["y", "at", "x"])
 
     got = sample.select("text", "y").mapInArrow(by_slices(run), "y int, at binary, x binary").toArrow()
-    X = np.zeros((got.num_rows, width), np.float32)
-    for i, (a, v) in enumerate(zip(got["at"].to_pylist(), got["x"].to_pylist(), strict=True)):
+    # Whatever order the tasks ended in, the rows come in one order.
+    rows = sorted(zip(got["y"].to_pylist(), got["at"].to_pylist(), got["x"].to_pylist(), strict=True))
+    del got
+    X = np.zeros((len(rows), width), np.float32)
+    for i, (_, a, v) in enumerate(rows):
         X[i, np.frombuffer(a, "<u2")] = np.frombuffer(v, "<f4")
-    y = np.array(got["y"].to_pylist(), dtype=float)
-    order = np.lexsort((X @ np.cos(np.arange(width, dtype=np.float32)), y))  # whatever order the tasks ended in
-    return X[order], y[order]
+    return X, np.array([r[0] for r in rows], dtype=float)

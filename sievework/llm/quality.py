@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sievework.llm import textkernels as K
-from sievework.llm.common import by_slices, texts
+from sievework.llm.common import by_slices, release, texts
 from sievework.llm.linear import collect_features, labelled_sample, logistic, sigmoid
 
 #: Most labelled rows that a model is trained on.
@@ -32,15 +32,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
     if len(set(y.tolist())) < 2:
         return np.zeros(K.BUCKETS), 0.0 if not len(y) else 40.0 * (2 * y[0] - 1)
     part = np.arange(len(y)) % 5 == 4
-    fit = ~part if len(set(y[part].tolist())) == 2 and len(set(y[~part].tolist())) == 2 else np.ones(len(y), bool)
-    share = np.where(y == 1, 0.5 / max(1, (y[fit] == 1).sum()), 0.5 / max(1, (y[fit] == 0).sum()))
-    w, b = logistic(X[fit], y[fit], ridge=2e-5, weight=share[fit])
-    z = X[part if fit is not part and (~fit).any() else fit] @ w.astype(np.float32) + b
-    target = y[part if (~fit).any() else fit]
+    if len(set(y[part].tolist())) < 2 or len(set(y[~part].tolist())) < 2:
+        part = np.zeros(len(y), bool)  # too few rows to set some apart
+    share = np.where(y == 1, 0.5 / (y[~part] == 1).sum(), 0.5 / (y[~part] == 0).sum()) * ~part  # rows set apart weigh nothing
+    w, b = logistic(X, y, ridge=2e-5, weight=share)
+    z, target = X @ w.astype(np.float32) + b, y
+    if part.any():
+        z, target = z[part], y[part]
     # Platt scaling; smoothed targets keep the slope finite when the classes are far apart.
     high, low = (target == 1).sum(), (target == 0).sum()
     slope, shift = logistic(z[:, None].astype(float), np.where(target == 1, (high + 1) / (high + 2), 1 / (low + 2)), ridge=1e-6)
     slope = max(float(slope[0]), 1e-3)
+    del X
+    release()
     return w * slope, b * slope + shift
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import textkernels as K
-from sievework.llm.common import broadcast_if_small, by_slices, grouped, partitions, slices, texts
+from sievework.llm.common import broadcast_if_small, by_slices, grouped, partitions, slices, task, texts
 from sievework.llm.fmindex import FMIndex
 from sievework.session import materialise
 
@@ -197,7 +197,7 @@ def cut_segments(source: DataFrame, shared: np.ndarray, often: np.ndarray, bits:
         n = len(data)
         yield pa.record_batch([*(pa.nulls(n, pa.int64()) for _ in range(4)), pa.nulls(n, pa.int32()), pa.array(shard[cuts[:-1]]), pa.array(data, pa.binary())], names)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for piece in slices(batch):
@@ -212,7 +212,7 @@ def cut_segments(source: DataFrame, shared: np.ndarray, often: np.ndarray, bits:
             yield from blocks(held)
 
     schema = "digest long, check long, doc_id long, row_key long, first int, shard int, block binary"
-    return source.select("text", "doc_id", "row_key").mapInArrow(task, schema)
+    return source.select("text", "doc_id", "row_key").mapInArrow(task(stretches), schema)
 
 
 def spread(counts: np.ndarray) -> np.ndarray:
@@ -262,7 +262,7 @@ def search_shards(blocks: DataFrame, window: int) -> DataFrame:
             yield pa.record_batch([pa.array(digest.view(np.int64)), pa.array(check_of(words)), lists], ["digest", "check", "smallest"]).take(pa.array(useful))
 
     n = partitions(blocks.sparkSession)
-    return blocks.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(search, "digest long, check long, smallest array<long>")
+    return blocks.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(task(search), "digest long, check long, smallest array<long>")
 
 
 def copies_of(source: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from sievework.llm.common import MEMOS
+
 #: Most pieces of one generation of the memo (two are kept), and longest piece, that a worker remembers.
 MEMO, MEMO_CHARS = 300_000, 40
 #: Texts with such characters are not lowered ahead of the tokenizer: composition or special tokens might change.
@@ -99,6 +101,9 @@ class Encoder:
         return out
 
 
+MEMOS["words"] = _encoders.clear
+
+
 def encoder(path: str) -> Encoder:
     """This worker's encoder of a tokenizer file."""
     if path not in _encoders:
