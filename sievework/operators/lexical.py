@@ -78,4 +78,6 @@ def bm25_many(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str = "id
     stats = F.broadcast(corpus_statistics(docs, text_col))  # one row
     scored = wanted.join(document_frequencies(wanted), "term").join(asked, "term").crossJoin(stats)
     part = F.col("qf") * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    return top(scored.groupBy("query_id", "id").agg(F.sum(part).alias("score")), top_k, ["query_id"])
+    # Added in the order of the terms, so that equal texts have equal scores and their ids decide.
+    listed = scored.groupBy("query_id", "id").agg(F.array_sort(F.collect_list(F.struct("term", part.alias("part")))).alias("parts"))
+    return top(listed.select("query_id", "id", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"]).alias("score")), top_k, ["query_id"])

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import decay, schema as S, sequences, similarity, text, trends
-from sievework.functions.vectors import softmax, truncate
+from sievework.functions.vectors import softmax, truncate, vector
 from sievework.operators import analytics, cases as C, evaluation, filters as P, fusion, lexical, memory as M, retrieval, vector_search
 from sievework.plans import fixtures as X
-from sievework.sources import corpus
+from sievework.sources import corpus, logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,8 +71,8 @@ LEGS_SQL = f"""
     tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, lower(unnest(parts)) AS term FROM toks) WHERE term IN ('the', 'tion', 'and') GROUP BY 1, 2),
     tf2 AS (SELECT id, term, sum(tf) AS tf FROM (SELECT * FROM tf UNION ALL SELECT id, whole, count(*) FROM toks WHERE len(parts) > 1 AND whole IN ('the', 'tion', 'and') GROUP BY 1, 2) GROUP BY 1, 2),
     df AS (SELECT term, count(*) AS df FROM tf2 GROUP BY 1),
-    scored AS (SELECT tf2.id, sum(ln((stat.n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lens.n / m))) AS score
-               FROM tf2 JOIN df USING (term) JOIN lens ON lens.id = tf2.id CROSS JOIN stat GROUP BY tf2.id),
+    scored AS (SELECT tf2.id, sum(ln((stat.n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lens.n / m)) ORDER BY tf2.term) AS score
+               FROM tf2 JOIN df ON df.term = tf2.term JOIN lens ON lens.id = tf2.id CROSS JOIN stat GROUP BY tf2.id),
     bm25 AS (SELECT * FROM scored ORDER BY score DESC, id LIMIT 40),
     legs AS (SELECT 'dense' AS leg, * FROM dense UNION ALL SELECT 'bm25', * FROM bm25),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY leg ORDER BY score DESC, id) AS r, min(score) OVER (PARTITION BY leg) AS lo, max(score) OVER (PARTITION BY leg) AS hi,
@@ -100,7 +100,7 @@ def dense_topk_many(spark, d):
 
 
 @query("""WITH w AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS t FROM documents)
-    SELECT id, round(score, 9) AS score FROM (SELECT id, sum(CASE t WHEN 'the' THEN 1.0 WHEN 'and' THEN 0.5 ELSE 2.0 END) AS score FROM w WHERE t IN ('the', 'and', 'die') GROUP BY id) ORDER BY score DESC, id LIMIT 40""")
+    SELECT id, round(score, 9) AS score FROM (SELECT id, sum(CAST(CASE t WHEN 'the' THEN 1.0 WHEN 'and' THEN 0.5 ELSE 2.0 END AS DOUBLE)) AS score FROM w WHERE t IN ('the', 'and', 'die') GROUP BY id) ORDER BY score DESC, id LIMIT 40""")
 def sparse_topk(spark, d):
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x.isin("the", "and", "die"))
     counts = F.map_from_entries(F.transform(F.array_distinct(words), lambda t: F.struct(t, F.size(F.filter(words, lambda x: x == t)).cast("double"))))
@@ -260,7 +260,7 @@ def case_breakdown(spark, d):
 
 
 @query(f"""WITH {X.CASES_SQL}, dd AS (SELECT case_id, abs(price - 150000) / 500000 AS d, greatest(100000 - price, price - 200000, 0) / 500000 AS dr FROM cases)
-    SELECT case_id, round(greatest(0, 1 - dr), 9) AS in_range, round(exp(-d * d / (2 * 0.01)), 9) AS gaussian, CASE WHEN d <= 0.1 THEN 1.0 ELSE 0.0 END AS step, round(exp(-3 * d), 9) AS exponential FROM dd""")
+    SELECT case_id, round(greatest(0, 1 - dr), 9) AS in_range, round(exp(-d * d / (2 * 0.01)), 9) AS gaussian, CAST(CASE WHEN d <= 0.1 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS step, round(exp(-3 * d), 9) AS exponential FROM dd""")
 def case_numeric_specs(spark, d):
     of = lambda q, spec, p=0.0: similarity.numeric(q, F.col("price"), 0, 500000, spec, p)
     return X.cases(spark, d).select("case_id", r6(of(S.Range(100000, 200000), "linear"), "in_range"), r6(of(150000.0, "gaussian", 0.1), "gaussian"), of(150000.0, "step", 0.1).alias("step"), r6(of(150000.0, "exponential", 3.0), "exponential"))
@@ -272,12 +272,12 @@ def case_numeric_specs(spark, d):
     SELECT case_id, round(s, 9) AS score FROM (SELECT case_id, CASE WHEN trust IS NULL THEN s1 ELSE s1 * (0.7 + 0.3 * trust) END AS s FROM st) ORDER BY s DESC, case_id LIMIT 25""")
 def case_stages(spark, d):
     rows = X.cases(spark, d).where(P.identity("ASIA"))
-    stages = [C.temporal(AS_OF, "half_life", timedelta(days=365)), C.scoped("INDIA/BUILDING"), C.by_outcome(), C.by_trust()]
+    stages = [C.temporal(AS_OF, "half_life", timedelta(days=365)), C.scoped("NATION_2/BUILDING"), C.by_outcome(), C.by_trust()]
     return C.similar(rows, SCHEMA, ASKED, WEIGHTS, 0.0, 25, stages).select("case_id", r6("score"))
 
 
 @query(f"""WITH {X.CASES_SQL}, a AS (SELECT *, date_diff('second', stored_at, TIMESTAMP '{AS_OF}') AS age FROM cases)
-    SELECT case_id, round(CASE WHEN age < 0 THEN 1 ELSE greatest(0, 1 - age / 63072000.0) END, 9) AS linear, CASE WHEN age < 31536000 THEN 1.0 ELSE 0.25 END AS step, round(CASE WHEN age < 0 THEN 1 ELSE pow(0.5, age / 31536000.0) END, 9) AS half FROM a""")
+    SELECT case_id, round(CASE WHEN age < 0 THEN 1 ELSE greatest(0, 1 - age / 63072000.0) END, 9) AS linear, CAST(CASE WHEN age < 31536000 THEN 1.0 ELSE 0.25 END AS DOUBLE) AS step, round(CASE WHEN age < 0 THEN 1 ELSE pow(0.5, age / 31536000.0) END, 9) AS half FROM a""")
 def temporal_decays(spark, d):
     return X.cases(spark, d).select("case_id", r6(decay.linear_decay("stored_at", AS_OF, timedelta(days=730)), "linear"), decay.step_decay("stored_at", AS_OF, timedelta(days=365), 0.25).alias("step"), r6(decay.half_life("stored_at", AS_OF, timedelta(days=365)), "half"))
 
@@ -644,6 +644,94 @@ def rule_labels(spark, d):
     return evaluation.rule_labels(rows, "user_id", [("direct", F.col("p") < F.col("s")), ("troubled", F.col("e") > 12), ("other", F.lit(True))], facts).select("user_id", "label")
 
 
+# More of the surface: nested and semantic similarity, caches, log scans, lifecycle, integrity
+
+
+@query("""SELECT l_orderkey AS case_id, l_linenumber AS line, round((greatest(0, 1 - abs(l_quantity - 20) / 50) + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) / 2, 9) AS score FROM lineitem WHERE l_orderkey % 10 = 0""")
+def case_nested(spark, d):
+    li = X.table(spark, d, "lineitem").where("l_orderkey % 10 = 0")
+    o = F.struct(F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"))
+    fields = (S.Numeric("quantity", 0, 50), S.Categorical("flag"))
+    return li.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("line"), r6(similarity.inner({"quantity": 20.0, "flag": "R"}, o, fields), "score"))
+
+
+@query(f"WITH {LEGS_SQL}, e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings) SELECT id, round(greatest(0, {COS}), 9) AS score FROM e CROSS JOIN q")
+def text_semantic(spark, d):
+    q = vector(first_vector(spark, d))
+    return X.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), r6(similarity.text_semantic(q, F.col("embedding")), "score"))
+
+
+@query("""SELECT user_id, round(len(list_intersect(list_distinct(list(event_type)), ['click', 'purchase'])) / CAST(len(list_distinct(list_concat(list(event_type), ['click', 'purchase']))) AS DOUBLE), 9) AS jaccard FROM events GROUP BY 1""")
+def set_jaccard(spark, d):
+    sets = X.table(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("s"))
+    return sets.select("user_id", r6(similarity.jaccard(F.col("s"), F.lit(["click", "purchase"])), "jaccard"))
+
+
+@query(f"WITH {X.LOG_SQL} SELECT retrieval_id, fb.doc, outcome, query_text FROM fb JOIN rec USING (retrieval_id) WHERE fb.ts >= TIMESTAMP '2024-01-20' AND fb.ts < TIMESTAMP '2024-01-25'")
+def log_feedback(spark, d):
+    records, _, judged = log(spark, d)
+    return logs.feedback_in(judged, records, "2024-01-20", "2024-01-25").select("retrieval_id", "doc", "outcome", "query_text")
+
+
+@query(f"WITH {X.LOG_SQL} SELECT DISTINCT rd.doc FROM rd JOIN rec USING (retrieval_id) WHERE rec.ts >= TIMESTAMP '2024-01-20' AND rec.ts < TIMESTAMP '2024-01-21'")
+def log_documents(spark, d):
+    records, found, _ = log(spark, d)
+    return logs.retrieved_documents(found, records, "2024-01-20", "2024-01-21")
+
+
+@query(f"WITH {X.LOG_SQL} SELECT (SELECT count(*) FROM rec WHERE ts >= TIMESTAMP '2024-01-15') AS records, (SELECT count(*) FROM rd WHERE retrieval_id IN (SELECT retrieval_id FROM rec WHERE ts >= TIMESTAMP '2024-01-15')) AS retrieved, (SELECT count(*) FROM fb WHERE retrieval_id IN (SELECT retrieval_id FROM rec WHERE ts >= TIMESTAMP '2024-01-15')) AS feedback")
+def log_retention(spark, d):
+    kept = logs.older_removed(*log(spark, d), "2024-01-15")
+    counts = [k.agg(F.count(F.lit(1)).alias(n)) for k, n in zip(kept, ("records", "retrieved", "feedback"), strict=True)]
+    return counts[0].crossJoin(counts[1]).crossJoin(counts[2])  # three rows of one number
+
+
+@query("SELECT event_type AS domain, count(*) AS n FROM events WHERE lower(props) LIKE '%\"k\": 7}%' GROUP BY 1")
+def memory_text(spark, d):
+    return X.memory(spark, d).where(P.text_contains("text", '"K": 7}')).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT doc_id AS id, sha256(text) AS hash FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)""")
+def cache_misses(spark, d):
+    keyed = docs(spark, d).select("id", text.content_hash("text").alias("hash"))
+    return keyed.join(keyed.where("id % 2 = 0").select("hash"), "hash", "left_anti").select("id", "hash")
+
+
+@query(f"WITH {X.CASES_SQL} SELECT case_id FROM cases WHERE tenant_id = 'ASIA' AND scope IN ('NATION_2/BUILDING', 'NATION_2', '') AND case_id % 7 <> 0 AND stored_at >= TIMESTAMP '1995-01-01'")
+def case_identity(spark, d):
+    rows = X.cases(spark, d).withColumn("superseded", F.col("case_id") % 7 == 0)
+    return rows.where(P.identity("ASIA", "sales", "order", "NATION_2/BUILDING", "1995-01-01")).select("case_id")
+
+
+@query("SELECT CASE WHEN doc_id % 7 = 0 OR doc_id % 10 = 0 THEN 'a2' ELSE 'a1' END AS archive, count(*) AS paths FROM documents GROUP BY 1")
+def archive_contents(spark, d):
+    return corpus.latest(X.versions(spark, d)).groupBy("archive").agg(F.count(F.lit(1)).alias("paths"))
+
+
+@query("SELECT 'a1' AS archive, 'ENTRY_COUNT_MISMATCH' AS problem, 'ERROR' AS severity UNION ALL SELECT 'a9', 'ARCHIVE_MISSING', 'ERROR'")
+def archive_integrity(spark, d):
+    v = X.versions(spark, d)
+    facts = corpus.archive_facts(v)
+    listed = spark.createDataFrame([("a9", 1, "00")], "archive string, entries long, hash string")
+    manifest = facts.withColumn("entries", F.when(F.col("archive") == "a1", F.col("entries") + 1).otherwise(F.col("entries"))).select("archive", "entries", "hash").unionByName(listed)
+    return corpus.integrity(manifest, facts, full=True)
+
+
+@query("SELECT CASE WHEN doc_id % 7 = 0 THEN 'a' ELSE 'b' END AS mode, round(avg(CASE WHEN quality >= 1 THEN 1.0 ELSE 0.0 END), 9) AS precision, count(*) AS scenarios FROM labels GROUP BY 1")
+def failure_modes(spark, d):
+    rows = X.table(spark, d, "labels").select(F.array(F.when(F.col("doc_id") % 7 == 0, "a").otherwise("b")).alias("modes"), (F.col("quality") >= 1).cast("double").alias("precision"))
+    return evaluation.by_failure_mode(rows).select("mode", r6("precision"), "scenarios")
+
+
+@query("""WITH r AS (SELECT user_id, list(event_type ORDER BY n DESC, event_type) AS ranked FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1)
+    SELECT round(avg(CASE WHEN ranked[1] = 'view' THEN 1.0 ELSE 0 END), 9) AS top_1, round(avg(CASE WHEN list_contains(ranked[1:3], 'view') THEN 1.0 ELSE 0 END), 9) AS top_k, count(*) AS n FROM r""")
+def ranked_accuracy(spark, d):
+    counted = X.table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    ranked = counted.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.negative("n").alias("n"), "event_type"))).alias("r"))
+    rows = ranked.select(F.transform("r", lambda x: x["event_type"]).alias("ranked"), F.lit("view").alias("label"))
+    return evaluation.accuracy(rows).select(r6("top_1"), r6("top_k"), "n")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval: a lexical and a dense leg, ranks fused, ten best documents."""
     return rrf_fusion(spark, sf_dir)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +14,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Texts are long: batches of fewer rows keep what the JVM and Python hold of them small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2500",
 }
 
 
@@ -26,11 +30,32 @@ def local_session(cores: int | str = 4, partitions: int = 8, **conf: str) -> Spa
     }
     for key, value in (base | conf).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application: their workers then import it wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():  # not when it came as an archive itself
+        archive = Path(tempfile.mkdtemp(prefix="sievework-ship-")).resolve() / "sievework.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the defaults that can be set on a running session."""
+    """Apply the defaults that can be set on a running session, and send the package to its executors."""
+    ship(spark)
     for key, value in DEFAULTS.items():
         spark.conf.set(key, value)
     return spark
