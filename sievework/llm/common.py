@@ -11,12 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.session import prepare
+
 #: A table of at most this many bytes may be broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
