@@ -12,26 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sievework.llm import chosenpath, exact, packing, quality, substring
 from sievework.llm.common import documents
-from sievework.session import materialise
+from sievework.session import materialise, prepare
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return exact.keep_one(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return chosenpath.keep_first(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return substring.cut_documents(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end=0)
 
 
