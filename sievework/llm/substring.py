@@ -120,7 +120,9 @@ def gather_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.A
     """The byte spans as strings."""
     sizes = ends - starts
     cuts = np.concatenate([[0], np.cumsum(sizes)])
-    at = np.repeat(starts - cuts[:-1], sizes) + np.arange(cuts[-1])
+    kind = np.int32 if max(int(cuts[-1]), len(data)) < 2**31 else np.int64
+    at = np.repeat((starts - cuts[:-1]).astype(kind), sizes)
+    at += np.arange(cuts[-1], dtype=kind)
     return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[at]))])
 
 
@@ -200,7 +202,7 @@ def cut_segments(source: DataFrame, shared: np.ndarray, often: np.ndarray, bits:
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=1 << 20):  # shared segments weigh several times their text
                 if (got := cut(piece)) is not None:
                     yield got[0]
                     held.append(got[1])
