@@ -145,7 +145,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, shard, first = None, -1, 0
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=4 << 20):
                 ids = encode_column(piece.column(2), tokenizer, end)
                 if writer is None:
                     shard = piece.column(0)[0].as_py()

@@ -47,7 +47,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int |
         return pa.record_batch([pa.array(out[n], k) for n, k in zip(names, kinds, strict=False)], names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return texts(docs, id_col, text_col).select("text", "doc_id").mapInArrow(by_slices(run, keeps=["words"]), schema)
+    return texts(docs, id_col, text_col).select("text", "doc_id").mapInArrow(by_slices(run, limit=4 << 20, keeps=["words"]), schema)
 
 
 def price(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> dict[int, int]:

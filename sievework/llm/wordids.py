@@ -49,9 +49,9 @@ class Encoder:
         """Ids of words of letters only. Each is one pre-token and so ends with its only end-of-word token: many go to
         the library as one text. Where the number of ends is not that of the words, they go one by one."""
         out: list[bytes] = []
-        for a in range(0, len(words), 256):
-            part = words[a : a + 256]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        parts = [words[a : a + 256] for a in range(0, len(words), 256)]
+        for part, got in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
             cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
             if len(cuts) == len(part) + 1 and cuts[-1] == 4 * len(ids):
                 data = ids.tobytes()
@@ -60,15 +60,15 @@ class Encoder:
                 out += self.each(part)
         return out
 
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: set[str]) -> None:
         """Put the ids of pieces into the memo: words, words with marks behind (a run of marks is one pre-token, too), and
         all others."""
         memo, older = self.memo, self.older
+        unknown = pieces.difference(older)
+        memo.update((piece, older[piece]) for piece in pieces - unknown)
         marked, bases, others = [], set(), []
-        for piece in pieces:
-            if (known := older.get(piece)) is not None:
-                memo[piece] = known
-            elif piece.isalpha():
+        for piece in unknown:
+            if piece.isalpha():
                 bases.add(piece)
             elif (base := piece.rstrip(MARKS)) is not piece and base.isalpha():
                 marked.append((piece, base, piece[len(base) :]))
@@ -89,13 +89,12 @@ class Encoder:
         if self.lowers:
             texts = [t if ODD.search(t) else t.lower() for t in texts]
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        new = [p for p in set().union(*pieces) if p not in self.memo]
+        new = set().union(*pieces).difference(self.memo)
         self.learn(new)
         out = [b"".join(map(self.memo.__getitem__, p)) for p in pieces]
-        for piece in new:
-            if len(piece) > MEMO_CHARS:
-                self.memo.pop(piece, None)
-                self.memo.pop(piece.rstrip(MARKS), None)
+        for piece in [p for p in new if len(p) > MEMO_CHARS]:
+            self.memo.pop(piece, None)
+            self.memo.pop(piece.rstrip(MARKS), None)
         if len(self.memo) > MEMO:
             self.older, self.memo = self.memo, {"": b""}
         return out
