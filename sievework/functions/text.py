@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Where a segment of letters and digits splits: lower|Upper, ACRONYM|Word, letter|digit, digit|letter.
 CAMEL = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[a-zA-Z])(?=[0-9])|(?<=[0-9])(?=[a-zA-Z])"
 
+#: The same borders as a plain test.
+CAMEL_BORDER = r"[a-z][A-Z]|[A-Z][A-Z][a-z]|[a-zA-Z][0-9]|[0-9][a-zA-Z]"
+
 
 def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -19,13 +22,40 @@ def code_tokens(text: Column | str) -> Column:
     segments = F.filter(F.split(F.coalesce(_col(text), F.lit("")), "[^a-zA-Z0-9]+"), lambda s: s != "")
 
     def parts(segment: Column) -> Column:
-        split = F.filter(F.split(segment, CAMEL), lambda p: p != "")
-        low = F.transform(split, F.lower)
-        return F.when(F.size(low) > 1, F.concat(low, F.array(F.lower(segment)))).otherwise(low)
+        # Few segments have a border; the others cost one plain test.
+        split = F.transform(F.split(segment, CAMEL), F.lower)
+        return F.when(segment.rlike(CAMEL_BORDER), F.concat(split, F.array(F.lower(segment)))).otherwise(F.array(F.lower(segment)))
 
     return F.flatten(F.transform(segments, parts))
 
 
+def token_counts(text: Column | str, terms: list[str]) -> tuple[Column, list[Column]]:
+    """How many code tokens a text has, and how often each term is one, without building the tokens.
+
+    terms: lower-case letters and digits. Borders within segments are marked by \\u0001; then tokens are runs between
+    marks, and a segment with marks counts once more as a whole.
+    """
+    marked = F.regexp_replace(F.translate(F.coalesce(_col(text), F.lit("")), "\u0001", " "), CAMEL, "\u0001")
+    length = F.regexp_count(marked, F.lit("[a-zA-Z0-9]+")) + F.regexp_count(marked, F.lit("[a-zA-Z0-9]+(?:\u0001[a-zA-Z0-9]+)+"))
+    found = []
+    for term in terms:
+        parts = F.regexp_count(marked, F.lit(f"(?i)(?<![a-zA-Z0-9]){term}(?![a-zA-Z0-9])"))
+        if len(term) > 1:
+            inside, outside = "(?<![a-zA-Z0-9\u0001])", "(?![a-zA-Z0-9\u0001])"
+            split = F.regexp_count(marked, F.lit(f"(?i){inside}{'\u0001?'.join(term)}{outside}")) - F.regexp_count(marked, F.lit(f"(?i){inside}{term}{outside}"))
+            parts = parts + F.when(F.contains(marked, F.lit("\u0001")), split).otherwise(0)
+        found.append(parts)
+    return length, found
+
+
+def token_bag(text: Column | str) -> Column:
+    """The code tokens of a text in no particular order, by a few passes over the whole text."""
+    marked = F.regexp_replace(F.translate(F.coalesce(_col(text), F.lit("")), "\u0001", " "), CAMEL, "\u0001")
+    low = F.translate(marked, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    whole = F.regexp_extract_all(low, F.lit("[a-z0-9]+(?:\u0001[a-z0-9]+)+"), F.lit(0))
+    return F.filter(F.concat(F.split(low, "[^a-z0-9]+"), F.transform(whole, lambda x: F.translate(x, "\u0001", ""))), lambda x: x != "")
+
+
 def expand_camel(text: Column | str) -> Column:
     """Each word followed by its camel-case parts if it has several; white space stays as it is."""
     pieces = F.split(F.coalesce(_col(text), F.lit("")), r"(?<=\s)(?=\S)|(?<=\S)(?=\s)")

@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.text import code_tokens
+from sievework.functions.text import code_tokens, token_bag, token_counts
 from sievework.operators.fusion import top
+from sievework.session import materialise
 
 K1, B = 1.2, 0.75
 
@@ -25,16 +26,15 @@ def tokens_of(text: str) -> list[str]:
     return out
 
 
-def equals(term: str):
-    """A test of array elements (a function of the element alone)."""
-    return lambda x: x == F.lit(term)
-
-
-def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", by: Sequence[str] = (), tokens: Column | None = None) -> DataFrame:
-    """(by..., term, id, tf, length): how often each document holds each term, and its number of tokens."""
-    t = code_tokens(text_col) if tokens is None else tokens
+def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", by: Sequence[str] = (), tokens: Column | None = None, only: DataFrame | None = None) -> DataFrame:
+    """(by..., term, id, tf, length): how often each document holds each term (of ``only``, if given), and its number
+    of tokens."""
+    t = token_bag(text_col) if tokens is None else tokens
     rows = docs.select(*by, F.col(id_col).alias("id"), t.alias("tokens")).withColumn("length", F.size("tokens"))
-    return rows.select(*by, "id", "length", F.explode("tokens").alias("term")).groupBy(*by, "term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    flat = rows.select(*by, "id", "length", F.explode("tokens").alias("term"))
+    if only is not None:
+        flat = flat.join(only.select("term").distinct(), "term", "left_semi")
+    return flat.groupBy(*by, "term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequencies(posted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -43,7 +43,7 @@ def document_frequencies(posted: DataFrame, by: Sequence[str] = ()) -> DataFrame
 
 def corpus_statistics(docs: DataFrame, text_col: str = "text", by: Sequence[str] = ()) -> DataFrame:
     """One row (for each ``by``): number of documents and mean number of tokens."""
-    return docs.select(*by, F.size(code_tokens(text_col)).alias("length")).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
+    return docs.select(*by, token_counts(text_col, [])[0].alias("length")).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
 
 
 def bm25(docs: DataFrame, query: str, top_k: int | None = None, predicate: Column | None = None, id_col: str = "id", text_col: str = "text", k1: float = K1, b: float = B, keep: Sequence[str] = ()) -> DataFrame:
@@ -54,9 +54,9 @@ def bm25(docs: DataFrame, query: str, top_k: int | None = None, predicate: Colum
     if not wanted:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score"), *keep).limit(0)
     terms = sorted(wanted)
-    counted = docs.select(F.col(id_col).alias("id"), *keep, *([predicate.alias("_ok")] if predicate is not None else []), code_tokens(text_col).alias("_t"))
-    hits = [F.size(F.filter("_t", equals(t))).alias(f"_tf{i}") for i, t in enumerate(terms)]
-    counted = counted.select("id", *keep, *(["_ok"] if predicate is not None else []), F.size("_t").alias("_len"), *hits)
+    length, hits = token_counts(text_col, terms)
+    counted = docs.select(F.col(id_col).alias("id"), *keep, *([predicate.alias("_ok")] if predicate is not None else []), length.alias("_len"), *[h.alias(f"_tf{i}") for i, h in enumerate(hits)])
+    counted = materialise(counted, "bm25-counts")  # a few numbers a document, read by the statistics and by the scores
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("mean"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i, t in enumerate(terms):
@@ -72,9 +72,8 @@ def bm25(docs: DataFrame, query: str, top_k: int | None = None, predicate: Colum
 
 def bm25_many(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str = "id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, id, score) for a table of queries (query_id, query): postings joined on the term."""
-    posted = postings(docs, id_col, text_col)
     asked = queries.select("query_id", F.explode(code_tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    wanted = posted.join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = materialise(postings(docs, id_col, text_col, only=asked), "bm25-postings")
     stats = F.broadcast(corpus_statistics(docs, text_col))  # one row
     scored = wanted.join(document_frequencies(wanted), "term").join(asked, "term").crossJoin(stats)
     part = F.col("qf") * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))

@@ -48,6 +48,17 @@ def test_code_tokens(spark, source, tokens):
     assert value(spark, text.code_tokens(F.lit(source).cast("string"))) == tokens == tokens_of(source)
 
 
+def test_token_counts(spark):
+    samples = ["chatModel ChatModel chatmodel CHATMODEL chat", "BM25 bm25 x9 BM-25 HTTPClient", "", None, "a\u0001b aB é1 aİ The the THE theThe", "one two", "A1b2C3"]
+    terms = ["chat", "chatmodel", "bm25", "25", "a", "the", "thethe", "b2"]
+    df = spark.createDataFrame([(t,) for t in samples], "t string")
+    length, found = text.token_counts("t", terms)
+    for row in df.select("t", length.alias("n"), F.array(*found).alias("tf"), text.token_bag("t").alias("bag")).collect():
+        tokens = tokens_of(row["t"])
+        assert sorted(row["bag"]) == sorted(tokens)
+        assert row["n"] == len(tokens) and row["tf"] == [tokens.count(t) for t in terms], row
+
+
 def test_text(spark):
     assert value(spark, text.expand_camel(F.lit("use  chatModel\nnow"))) == "use  chatModel chat Model\nnow"
     assert value(spark, text.plain_question(F.lit('what "is" (this)*:  a-b?'))) == "what is this a b?"
