@@ -4,8 +4,10 @@ Documents with the same set of word shingles are one class. Each class has a ske
 starts from one root bucket; in every bucket some coordinates are sampled (1 / threshold of them on average, the same
 for all members), and each splits the bucket by its members' values there. Buckets of at most ``small`` members are
 compared by brute force. In a larger one all members are compared with one pivot, drawn anew for each bucket; those
-that agree with it are linked to it and leave the bucket (not the other buckets), and the rest is split again. Runs are repeated until a pair at the threshold is found with
-the target recall. Linked classes form groups, and within a group every pair is verified on the whole shingle sets.
+close to it leave the bucket (not the other buckets), and the rest is split again. All that could agree with one that
+leaves are linked to the pivot, so that no pair is lost by it. Runs are repeated until a pair at the threshold is found
+with the target recall. Linked classes form groups, and within a group every pair is verified on
+the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from sievework.session import materialise
 
 SHINGLE, THRESHOLD = 5, 0.8
 SKETCH = 64
-RECALL = 0.998
+RECALL = 0.9999
 SMALL = 32  # members of a bucket that is compared by brute force
 DEPTH = 4  # splits, before what is left of large buckets is compared block by block
 BLOCK = 192  # members of a block
@@ -50,6 +52,16 @@ def least_agreement(threshold: float, sketch: int = SKETCH) -> int:
     return math.floor(sketch * threshold - 4 * math.sqrt(sketch * threshold * (1 - threshold)))
 
 
+def pivot_bounds(agree: int, sketch: int = SKETCH) -> tuple[int, int]:
+    """(leave, tie): members that agree with the pivot on ``leave`` coordinates leave its bucket; those on ``tie`` are linked to it.
+
+    Differing coordinates are a metric: what agrees with a leaving member on ``agree`` coordinates agrees with the
+    pivot on ``agree + leave - sketch`` at least.
+    """
+    leave = (sketch + agree) // 2
+    return leave, agree + leave - sketch
+
+
 def shingle_sets(words: K.Words, size: int) -> list[np.ndarray]:
     """The distinct shingle hashes of each row in order; a shorter text has one shingle, its words; an empty one none."""
     hashes, at = words.windows(size)
@@ -122,21 +134,61 @@ def root_buckets(classes: DataFrame, runs: int, threshold: float) -> DataFrame:
     return classes.select("rep", "sketch").mapInArrow(task(run), "path long, rep long")
 
 
+def spanning_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that tie together just what the given ones do, one for each node but the smallest of its part."""
+    nodes, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = code[: len(a)], code[len(a) :]
+    label = np.arange(len(nodes))
+    while len(left):
+        least = np.minimum(label[left], label[right])
+        new = label.copy()
+        for end in (left, right):
+            np.minimum.at(new, end, least)
+            np.minimum.at(new, label[end], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    tied = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[tied], nodes[label[tied]]
+
+
+class Links:
+    """The links of a task, of which a spanning forest is kept."""
+
+    def __init__(self):
+        self.a, self.b, self.n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a.append(a)
+        self.b.append(b)
+        self.n += len(a)
+        if self.n > 200_000:
+            a, b = self.held()
+            self.a, self.b, self.n = [a], [b], 0
+
+    def held(self) -> tuple[np.ndarray, np.ndarray]:
+        return spanning_links(np.concatenate(self.a), np.concatenate(self.b))
+
+
 def split_buckets(members: DataFrame, threshold: float, agree: int) -> tuple[DataFrame, DataFrame]:
-    """members: path, rep, sketch, pivot, pivot_sketch of large buckets. Returns links to pivots, and the next buckets
-    of the members that do not agree with theirs."""
+    """members: path, rep, sketch, pivot, pivot_sketch of large buckets. Returns links that tie to the pivots all
+    members that could agree with one that leaves, and the next buckets of the members that stay."""
+    leave, wide = pivot_bounds(agree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = Links()
         for batch in batches:
             path, rep, pivot = (batch.column(i).to_numpy() for i in (0, 1, 3))
             drawn = matrix(batch.column(2))
             same = (drawn == matrix(batch.column(4))).sum(1)
-            near = same >= agree
-            tie = near & (rep != pivot)
-            yield pa.record_batch([pa.array(rep[tie]), pa.array(pivot[tie]), pa.nulls(int(tie.sum()), pa.int64())], ["a", "b", "path"])
-            rest = np.flatnonzero(~near)
+            tie = (same >= wide) & (rep != pivot)
+            links.add(rep[tie], pivot[tie])
+            rest = np.flatnonzero(same < leave)
             member, onward = children(path[rest].view(np.uint64), drawn[rest], threshold)
             yield pa.record_batch([pa.array(rep[rest][member]), pa.nulls(len(member), pa.int64()), pa.array(onward.view(np.int64))], ["a", "b", "path"])
+        a, b = links.held()
+        yield pa.record_batch([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "path"])
 
     out = materialise(members.mapInArrow(task(run), "a long, b long, path long"), "paths-split")
     return out.where("b is not null").select("a", "b"), out.where("path is not null").select("path", F.col("a").alias("rep"))
@@ -156,21 +208,18 @@ def forest(similar: np.ndarray) -> np.ndarray:
 
 
 def brute_force(buckets: DataFrame, agree: int) -> DataFrame:
-    """buckets: path, rep, sketch. Links (a, b) that tie together the members that agree, at most one fewer than members."""
+    """buckets: path, rep, sketch. Links (a, b) that tie together the members that agree, at most one fewer than members in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+        links = Links()
         for table in grouped(batches, "path"):
             rep = table["rep"].to_numpy()
             drawn = matrix(table["sketch"].combine_chunks())
             label = forest((drawn[:, None, :] == drawn[None, :, :]).sum(2) >= agree) if len(rep) > 2 else np.array([0, 0 if (drawn[0] == drawn[-1]).sum() >= agree else 1])[: len(rep)]
             tied = np.flatnonzero(label != np.arange(len(rep)))
-            a += rep[tied].tolist()
-            b += rep[label[tied]].tolist()
-            if len(a) > 10_000:
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
-        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            links.add(rep[tied], rep[label[tied]])
+        a, b = links.held()
+        yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
     n = partitions(buckets.sparkSession)
     return buckets.repartition(n, "path").sortWithinPartitions("path").mapInArrow(task(run), "a long, b long")

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +112,42 @@ def test_runs_reach_the_recall():
     assert chosenpath.runs_for(0.999) > chosenpath.runs_for(0.99)
 
 
+def test_pivots_separate_no_pair(spark):
+    """Two members that agree are tied by links, or both go on, whatever the pivot of their bucket."""
+    agree = chosenpath.least_agreement(chosenpath.THRESHOLD)
+    rng = np.random.default_rng(4)
+    pivot = np.zeros(chosenpath.SKETCH, "<u4")
+    drawn = []
+    for i in range(1, chosenpath.SKETCH - agree + 1):
+        x = pivot.copy()
+        x[rng.permutation(chosenpath.SKETCH)[:i]] = i
+        y = x.copy()
+        y[rng.permutation(np.flatnonzero(x == 0))[: chosenpath.SKETCH - agree]] = 100 + i
+        drawn += [x, y]
+    path = next(p for p in range(1, 99) if len(chosenpath.children(np.array([p], np.uint64), pivot[None, :], chosenpath.THRESHOLD)[0]) > 1)
+    rows = [(path, i, x.tobytes(), 1000, pivot.tobytes()) for i, x in enumerate(drawn)]
+    members = spark.createDataFrame(rows, "path long, rep long, sketch binary, pivot long, pivot_sketch binary").repartition(1)
+    links, onward = chosenpath.split_buckets(members, chosenpath.THRESHOLD, agree)
+    label = {n: n for n in [*range(len(drawn)), 1000]}
+    for a, b in links.collect():
+        old, new = label[a], label[b]
+        label = {n: new if x == old else x for n, x in label.items()}
+    goes_on = {r["rep"] for r in onward.collect()}
+    for i in range(0, len(drawn), 2):
+        assert label[i] == label[i + 1] or {i, i + 1} <= goes_on, i
+
+
+def test_spanning_links():
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(0, 300, (2, 200))
+    one, two = chosenpath.spanning_links(a, b)
+    similar = np.eye(300, dtype=bool)
+    similar[a, b] = similar[b, a] = True
+    want = chosenpath.forest(similar)
+    assert dict(zip(one.tolist(), two.tolist(), strict=True)) == {i: int(x) for i, x in enumerate(want) if i != x}
+    assert len(chosenpath.spanning_links(a[:0], b[:0])[0]) == 0
+
+
 def check_substrings(spark, df, pairs, **options):
     expected = removed_words(pairs)
     got = substring.dedup_substrings(df, **options).collect()
