@@ -6,7 +6,7 @@ for all members), and each splits the bucket by its members' values there. Bucke
 compared by brute force. In a larger one all members are compared with one pivot, drawn anew for each bucket; those
 close to it leave the bucket (not the other buckets), and the rest is split again. All that could agree with one that
 leaves are linked to the pivot, so that no pair is lost by it. Runs are repeated until a pair at the threshold is found
-with the target recall. Linked classes form groups, and within a group every pair is verified on
+with the target recall at the deepest split. Linked classes form groups, and within a group every pair is verified on
 the whole shingle sets.
 """
 
@@ -237,7 +237,7 @@ def in_blocks(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
 def candidate_links(classes: DataFrame, threshold: float, recall: float, small: int, depth: int, block: int) -> DataFrame:
     """Links between classes that tie together all that the chosen paths bring together and whose sketches agree."""
     agree = least_agreement(threshold)
-    rows = root_buckets(classes, runs_for(recall), threshold)
+    rows = root_buckets(classes, runs_for(recall, depth + 1), threshold)  # the root's split and ``depth`` more
     links, ready = [], []
     for level in range(depth + 1):
         rows = materialise(rows, "paths")

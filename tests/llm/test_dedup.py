@@ -112,6 +112,21 @@ def test_runs_reach_the_recall():
     assert chosenpath.runs_for(0.999) > chosenpath.runs_for(0.99)
 
 
+def test_runs_reach_the_recall_at_the_deepest_split(spark, monkeypatch):
+    """The root's split and ``depth`` more: 30 runs for 0.9999 at five splits."""
+    asked = []
+
+    def root_buckets(classes, runs, threshold):
+        asked.append(runs)
+        return classes.select(F.col("rep").alias("path"), "rep")
+
+    monkeypatch.setattr(chosenpath, "root_buckets", root_buckets)
+    classes = spark.createDataFrame([(i, np.full(64, i, "<u4").tobytes()) for i in range(3)], "rep long, sketch binary")
+    chosenpath.candidate_links(classes, chosenpath.THRESHOLD, chosenpath.RECALL, 32, chosenpath.DEPTH, 192)
+    chosenpath.candidate_links(classes, chosenpath.THRESHOLD, 0.99, 32, 1, 192)
+    assert asked == [chosenpath.runs_for(0.9999, 5), chosenpath.runs_for(0.99, 2)] == [30, 8]
+
+
 def test_pivots_separate_no_pair(spark):
     """Two members that agree are tied by links, or both go on, whatever the pivot of their bucket."""
     agree = chosenpath.least_agreement(chosenpath.THRESHOLD)
