@@ -3,7 +3,7 @@
 Everything that depends on the number of rows is a histogram of piece lengths (at most ``capacity`` rows). The driver
 solves the configuration linear program over it - how many sequences to fill with which multiset of lengths - by
 multiplicative weights: a length's weight shrinks as its demand is covered, and a knapsack dynamic program prices the
-best configuration for the current weights. The fractional solution is rounded down and what remains is packed best
+best configuration for the current weights, until all demand is covered. The fractional solution is rounded down and what remains is packed best
 fit decreasing, whole groups of equal sequences at a time, so the number of different configurations is bounded by a
 few times the capacity, whatever the number of rows. Executors then give the i-th piece of a length the i-th place
 that the configurations hold for that length.
@@ -52,17 +52,21 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int |
 
 def price(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> dict[int, int]:
     """The multiset of lengths of the greatest weight within the capacity, by dynamic programming over the room."""
-    value = np.zeros(capacity + 1)
+    value = np.zeros(capacity + 1)  # of each room, the largest first, so that what a length leaves is a plain slice
     choice = np.full(capacity + 1, -1)
-    shortest = int(lengths[0])
+    shortest, longest = int(lengths[0]), int(lengths[-1])
+    every = np.full(longest - shortest + 1, -np.inf)
+    every[lengths - shortest] = weights
+    place = np.full(longest - shortest + 1, -1)
+    place[lengths - shortest] = np.arange(len(lengths))
     for room in range(shortest, capacity + 1):
-        k = int(np.searchsorted(lengths, room, side="right"))
-        total = value[room - lengths[:k]] + weights[:k]
+        at = capacity - room
+        total = value[at + shortest : at + min(room, longest) + 1] + every[: min(room, longest) - shortest + 1]
         best = int(total.argmax())
-        if total[best] > value[room - 1]:
-            value[room], choice[room] = total[best], best
+        if total[best] > value[at + 1]:
+            value[at], choice[room] = total[best], place[best]
         else:
-            value[room] = value[room - 1]
+            value[at] = value[at + 1]
     found: dict[int, int] = defaultdict(int)
     room = capacity
     while room >= shortest:
@@ -75,12 +79,16 @@ def price(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> dict[int,
     return found
 
 
-def configuration_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 250, rate: float = 4.0) -> dict[Pattern, float]:
-    """An approximate solution of the configuration LP: the number of sequences of each configuration."""
+def configuration_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int | None = None, rate: float = 4.0) -> dict[Pattern, float]:
+    """An approximate solution of the configuration LP: the number of sequences of each configuration.
+
+    A round halves the open demand of a length, an eighth of the demand at least, so that four rounds a length cover
+    all (five, as sums are rounded); ``rounds`` stops earlier.
+    """
     covered = np.zeros(len(lengths))
     found: dict[Pattern, float] = defaultdict(float)
     base = (lengths / capacity) ** 1.05
-    for _ in range(rounds):
+    for _ in range(5 * len(lengths) if rounds is None else rounds):
         open_ = np.flatnonzero(covered < 1)
         if not len(open_):
             break
@@ -131,27 +139,35 @@ def add(pattern: Pattern, length: int, copies: int) -> Pattern:
     return tuple(sorted(held.items(), reverse=True))
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 250) -> list[tuple[Pattern, int]]:
-    """Configurations and how many sequences get each; together they hold every length exactly as often as counted."""
-    rest = {length: n for length, n in histogram.items() if n}
-    out: dict[Pattern, int] = defaultdict(int)
-    if capacity in rest:
-        out[((capacity, 1),)] = rest.pop(capacity)
-    if rest:
-        lengths = np.array(sorted(rest))
-        counts = np.array([rest[x] for x in lengths], float)
-        groups: dict[int, list[tuple[Pattern, int]]] = defaultdict(list)
-        for pattern, x in sorted(configuration_lp(lengths, counts, capacity, rounds).items(), key=lambda p: (-p[1], p[0])):
-            n = min(int(x), *(rest.get(length, 0) // copies for length, copies in pattern))
-            if n:
-                for length, copies in pattern:
-                    rest[length] -= n * copies
-                groups[capacity - sum(length * copies for length, copies in pattern)].append((pattern, n))
-        for held in best_fit_decreasing({k: n for k, n in rest.items() if n}, groups, capacity).values():
-            for pattern, n in held:
-                if pattern and n:
-                    out[pattern] += n
-    return sorted(out.items(), key=lambda p: (-p[1], p[0]))
+def solve(histogram: dict[int, int], capacity: int, rounds: int | None = None) -> list[tuple[Pattern, int]]:
+    """Configurations and how many sequences get each; together they hold every length exactly as often as counted.
+
+    Rounding down costs most where many lengths are rare, so the program is also stopped early and left out, and the
+    fewest sequences are taken.
+    """
+    whole = {length: n for length, n in histogram.items() if n}
+    full = whole.pop(capacity, 0)
+    found = []
+    for most in (None, 250, 0) if rounds is None else (rounds,):
+        rest, out = dict(whole), defaultdict(int)
+        if full:
+            out[((capacity, 1),)] = full
+        if rest:
+            lengths = np.array(sorted(rest))
+            counts = np.array([rest[x] for x in lengths], float)
+            groups: dict[int, list[tuple[Pattern, int]]] = defaultdict(list)
+            for pattern, x in sorted(configuration_lp(lengths, counts, capacity, most).items(), key=lambda p: (-p[1], p[0])):
+                n = min(int(x), *(rest.get(length, 0) // copies for length, copies in pattern))
+                if n:
+                    for length, copies in pattern:
+                        rest[length] -= n * copies
+                    groups[capacity - sum(length * copies for length, copies in pattern)].append((pattern, n))
+            for held in best_fit_decreasing({k: n for k, n in rest.items() if n}, groups, capacity).values():
+                for pattern, n in held:
+                    if pattern and n:
+                        out[pattern] += n
+        found.append(out)
+    return sorted(min(found, key=lambda out: sum(out.values())).items(), key=lambda p: (-p[1], p[0]))
 
 
 @dataclass
@@ -183,7 +199,7 @@ class Places:
         return self.sequence[at] + repeat, self.offset[at] + copy * self.length[at]
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), rounds: int = 250) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), rounds: int | None = None) -> DataFrame:
     """All columns of ``pieces`` and sequence_id, offset: every piece in one sequence, sequences without gaps.
 
     ``pieces`` must give the same rows whenever it is read (a written table); lengths are 1 ... capacity. Pieces of

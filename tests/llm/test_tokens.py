@@ -81,6 +81,32 @@ def test_configuration_lp_contributes():
     assert all(sum(length * c for length, c in p) <= 128 for p in found)
 
 
+def test_configuration_lp_covers_all_demand():
+    """More lengths than 250 rounds can cover."""
+    lengths = np.arange(129, 251)
+    counts = np.random.default_rng(3).integers(900, 1100, len(lengths)).astype(float)
+    held = Counter()
+    for pattern, n in packing.configuration_lp(lengths, counts, 512).items():
+        for length, copies in pattern:
+            held[length] += copies * n
+    assert all(held[int(length)] >= n * (1 - 1e-9) for length, n in zip(lengths, counts, strict=True))
+    histogram = {int(length): int(n) for length, n in zip(lengths, counts, strict=True)}
+    used = [sum(n for _, n in packing.solve(histogram, 512, *rounds)) for rounds in ((), (250,), (0,))]
+    assert used[0] <= min(used[1:])
+
+
+def test_price_finds_the_greatest_weight():
+    rng = np.random.default_rng(2)
+    for lengths in (np.array([3, 5, 11, 40]), np.array([7]), np.arange(1, 60)):
+        weights = rng.random(len(lengths)) * lengths
+        value = [0.0] * 65
+        for room in range(1, 65):
+            value[room] = max([value[room - 1], *(value[room - x] + w for x, w in zip(lengths, weights, strict=True) if x <= room)])
+        found = packing.price(lengths, weights, 64)
+        assert sum(lengths[i] * n for i, n in found.items()) <= 64
+        assert abs(sum(weights[i] * n for i, n in found.items()) - value[64]) < 1e-9
+
+
 def test_packing_empty(spark):
     assert packing.pack_documents(empty(spark), WORD).count() == 0
 
