@@ -26,7 +26,7 @@ from sievework.llm.common import grouped, partitions, slices, task, texts
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 BLOCK_BYTES = 4 << 20
-HASH_BITS = 48  # of an n-gram's hash; more cost disk, fewer let different n-grams share a count
+HASH_BITS = 64  # of an n-gram's hash; fewer save disk, but let different n-grams share a count
 
 
 def squeeze(values: np.ndarray) -> bytes:

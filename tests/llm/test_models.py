@@ -161,3 +161,11 @@ def test_backoff(spark, order, monkeypatch):
     pairs = [r[:2] for r in rows()]
     got = sorted((str(r["doc_id"]), r["n_tokens"], round(r["log_score"], 5)) for r in backoff.backoff_scores(awkward(spark), order=order).collect())
     assert got == sorted((str(i), n, round(s, 5)) for i, n, s in plain_backoff(pairs, order))
+
+
+def test_backoff_keeps_ngrams_apart_by_whole_hashes(monkeypatch):
+    """N-grams whose hashes agree in all but the last bits have counts of their own."""
+    near = np.array([5 << 16, (5 << 16) + 1, (5 << 16) + 1], np.uint64)
+    monkeypatch.setattr(backoff.K.Words, "windows", lambda self, n: (near, np.arange(3)))
+    grams = backoff.Grams(pa.array(["a b b"]), 1, backoff.HASH_BITS)
+    assert grams.tables[0][0].tolist() == sorted(set(near.tolist())) and grams.tables[0][1].tolist() == [1, 2]
