@@ -2,13 +2,16 @@
 
 A shard file holds the ids of consecutive documents, each id in the fewest bits that the vocabulary needs:
 
-    header   8 unsigned 64-bit little-endian numbers: MAGIC, bits, block ids, documents, ids, bytes of payload,
-             blocks, first id's place among all ids of the shard's table (0 until known)
+    room     8 unsigned 64-bit zeros
     payload  blocks of ``block ids`` ids, each block padded to whole bytes
     offsets  blocks + 1 unsigned 64-bit numbers: where each block begins in the payload
     index    documents x (id of the document as signed, first id within the shard as unsigned) 64-bit numbers
+    footer   8 unsigned 64-bit little-endian numbers: MAGIC, bits, block ids, documents, ids, bytes of payload,
+             blocks, documents without an id (they come first, with the least number as id)
 
-Files are written to a temporary name and renamed, so a task that is run again leaves one whole file.
+Files are written to a temporary name and renamed, so a task that is run again leaves one whole file. Beside the
+shards, MANIFEST (a Parquet table) holds a row for each: shard, file, documents, n_ids, start (ids in all shards
+before it), so that a folder can be read without what wrote it.
 """
 
 from __future__ import annotations
@@ -29,6 +32,11 @@ from sievework.session import shared_path
 
 MAGIC = 0x314B434150534449
 HEADER = 8
+MANIFEST = "manifest.parquet"
+NO_ID = -(2**63)
+MANIFEST_SCHEMA = "shard int, file string, documents long, n_ids long, start long"
+#: Names that pyarrow has for stores which Spark names otherwise.
+SCHEMES = {"s3a://": "s3://", "s3n://": "s3://"}
 BLOCK = 1 << 14
 
 
@@ -54,6 +62,9 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
 
 
 def open_store(path: str) -> tuple[pafs.FileSystem, str]:
+    for own, other in SCHEMES.items():
+        if path.startswith(own):
+            path = other + path.removeprefix(own)
     return pafs.FileSystem.from_uri(path)
 
 
@@ -65,12 +76,16 @@ class Writer:
         self.temporary = f"{self.path}.{uuid.uuid4().hex}"
         self.bits, self.block = bits, block
         self.file = self.store.open_output_stream(self.temporary)
-        self.file.write(np.zeros(HEADER, "<u8").tobytes())  # the true header stands in the footer as well
+        self.file.write(np.zeros(HEADER, "<u8").tobytes())
         self.rest, self.n, self.size = np.zeros(0, np.uint32), 0, 0
-        self.offsets, self.index = [0], []
-
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.index.append((doc_id, self.n))
+        self.offsets, self.index, self.no_id = [0], [], 0
+
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Documents (those without an id before all others) with all their ids, one after the other, and the number
+        of each one's."""
+        first = self.n + np.cumsum(counts) - counts
+        self.no_id += doc_ids.null_count
+        self.index.append(np.stack([doc_ids.fill_null(NO_ID).to_numpy(), first], 1))
         self.n += len(ids)
         self.rest = np.concatenate([self.rest, ids])
         whole = len(self.rest) // self.block * self.block
@@ -88,9 +103,10 @@ class Writer:
     def close(self) -> None:
         if len(self.rest):
             self._block(self.rest)
-        index = np.array(self.index, np.int64).reshape(-1, 2)
+        index = np.concatenate([np.zeros((0, 2), np.int64), *self.index])
+        self.documents = len(index)
         self.file.write(np.array(self.offsets, "<u8").tobytes() + index.astype("<i8").tobytes())
-        self.file.write(np.array([MAGIC, self.bits, self.block, len(index), self.n, self.size, len(self.offsets) - 1, 0], "<u8").tobytes())
+        self.file.write(np.array([MAGIC, self.bits, self.block, len(index), self.n, self.size, len(self.offsets) - 1, self.no_id], "<u8").tobytes())
         self.file.close()
         self.store.move(self.temporary, self.path)
 
@@ -105,7 +121,7 @@ class Reader:
         foot = np.frombuffer(self.file.read_at(8 * HEADER, end - 8 * HEADER), "<u8").astype(np.int64)
         if foot[0] != MAGIC:
             raise ValueError(f"not a shard file: {path}")
-        _, self.bits, self.block, self.documents, self.n, size, blocks, _ = map(int, foot)
+        _, self.bits, self.block, self.documents, self.n, size, blocks, self.no_id = map(int, foot)
         at = 8 * HEADER + size
         self.offsets = np.frombuffer(self.file.read_at(8 * (blocks + 1), at), "<u8").astype(np.int64)
         index = np.frombuffer(self.file.read_at(16 * self.documents, at + 8 * (blocks + 1)), "<i8").reshape(-1, 2)
@@ -136,42 +152,45 @@ class Reader:
 def write_ids(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end: int | None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Encode every whole text and write shards in ascending order of the id; returns the manifest.
 
-    Manifest: shard int, file, documents, n_ids, start long (ids in all shards before it). Documents are dealt to
-    shards by ranges of the id; rows of one id keep together. A null text is empty; a null id comes first and reads
-    back as -2**63. An empty table gives no shards.
+    Manifest: shard int, file, documents, n_ids, start long (ids in all shards before it); it is written beside the
+    shards, too. Documents are dealt to shards by ranges of the id, and rows of one id by a hash of the text and the
+    text, so that every run gives the same order and a hot id is spread. A null or empty text has the end id only;
+    null ids come first; repeated rows are written each; a very long text is encoded whole. Other columns are ignored.
+    An empty table gives no shards.
     """
     bits = width(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, shard, first = None, -1, 0
+        writer, shard = None, -1
         for batch in batches:
-            for piece in slices(batch, limit=4 << 20):
-                ids = encode_column(piece.column(2), tokenizer, end)
+            for piece in slices(batch, limit=8 << 20):
                 if writer is None:
                     shard = piece.column(0)[0].as_py()
                     writer = Writer(f"{path}/shard-{shard:06d}.ids", bits, block)
-                for doc_id, own in zip(piece.column(1).to_pylist(), ids, strict=True):
-                    writer.add(-(2**63) if doc_id is None else doc_id, own)
+                writer.add(piece.column(1), *encode_column(piece.column(2), tokenizer, end))
         if writer is not None:
             writer.close()
-            yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([f"shard-{shard:06d}.ids"]), pa.array([len(writer.index)], pa.int64()), pa.array([writer.n], pa.int64())], ["shard", "file", "documents", "n_ids"])
+            yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([f"shard-{shard:06d}.ids"]), pa.array([writer.documents], pa.int64()), pa.array([writer.n], pa.int64())], ["shard", "file", "documents", "n_ids"])
 
     spark = docs.sparkSession
     store, name = open_store(path)
     store.create_dir(name, recursive=True)
-    source = texts(docs, id_col, text_col)
-    n = max(partitions(spark), 1)
-    ordered = source.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").select(F.spark_partition_id().alias("shard"), "doc_id", "text")
+    source = texts(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
+    ordered = source.repartitionByRange(max(partitions(spark), 1), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select(F.spark_partition_id().alias("shard"), "doc_id", "text")
     rows = sorted(tuple(r) for r in ordered.mapInArrow(task(run, ["words"]), "shard int, file string, documents long, n_ids long").collect())  # one row a shard
     starts = np.concatenate([[0], np.cumsum([r[3] for r in rows])]).tolist()
-    return spark.createDataFrame([(*r, s) for r, s in zip(rows, starts, strict=False)], "shard int, file string, documents long, n_ids long, start long")
+    manifest = spark.createDataFrame([(*r, s) for r, s in zip(rows, starts, strict=False)], MANIFEST_SCHEMA)
+    manifest.coalesce(1).write.mode("overwrite").parquet(f"{path}/{MANIFEST}")
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/{MANIFEST}")
 
 
-def read_ids(spark: SparkSession, path: str, manifest: DataFrame, derive: Callable[[list[np.ndarray]], list[pa.Array]] | None = None, schema: str = "ids array<int>") -> DataFrame:
+def read_ids(spark: SparkSession, path: str, manifest: DataFrame | None = None, derive: Callable[[list[np.ndarray]], list[pa.Array]] | None = None, schema: str = "ids array<int>") -> DataFrame:
     """Per document, from the files: doc_id, start long (ids of all documents before it), ids array<int>.
 
-    derive: what stands in place of ids, from a list of the id arrays of some documents; ``schema`` names it.
+    manifest: by default the one in the folder. derive: what stands in place of ids, from a list of the id arrays of
+    some documents; ``schema`` names it.
     """
+    manifest = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/{MANIFEST}") if manifest is None else manifest
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +203,7 @@ def read_ids(spark: SparkSession, path: str, manifest: DataFrame, derive: Callab
                         own = [pa.ListArray.from_arrays(pa.array((cuts - cuts[0]).astype(np.int32)), pa.array(ids.astype(np.int32)))]
                     else:
                         own = derive(np.split(ids, cuts[1:-1] - cuts[0]))
-                    yield pa.record_batch([pa.array(reader.doc_ids[i:j]), pa.array(start + cuts[:-1]), *own], ["doc_id", "start", *names])
+                    yield pa.record_batch([pa.array(reader.doc_ids[i:j], mask=np.arange(i, j) < reader.no_id), pa.array(start + cuts[:-1]), *own], ["doc_id", "start", *names])
 
     files = manifest.select("file", "start").repartition(max(1, manifest.count()))
     return files.mapInArrow(run, f"doc_id long, start long, {schema}")

@@ -16,7 +16,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-#: The tokenizers of the registered queries; operators take any path.
+#: The tokenizers of the registered queries; packing and id files take any whose pre-tokens end at white space.
 WORD_BPE, WORD_VOCABULARY = "word_bpe_49k.json", 49_408
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 
@@ -37,8 +37,8 @@ def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = idfiles.new_folder(spark)
-    manifest = idfiles.write_ids(documents(spark, sf_dir), folder, public_tokenizers.path(WORD_BPE), WORD_VOCABULARY, end=2)
-    return idfiles.read_ids(spark, folder, manifest, idfiles.sizes_and_crc, "n_tokens long, ids_crc32 long")
+    idfiles.write_ids(documents(spark, sf_dir), folder, public_tokenizers.path(WORD_BPE), WORD_VOCABULARY, end=2)
+    return idfiles.read_ids(spark, folder, derive=idfiles.sizes_and_crc, schema="n_tokens long, ids_crc32 long")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
