@@ -6,6 +6,8 @@ at once. All functions see whole texts; a batch is cut only between rows.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 
@@ -17,18 +19,16 @@ _rng = np.random.default_rng(20240229)
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 U = np.uint64
-_powers = np.ones(1, np.uint64)
+_spots = np.ones(1, np.uint64)
 
 
-def powers(n: int) -> np.ndarray:
-    """STEP ** 0 ... STEP ** (n - 1), at least."""
-    global _powers
-    if len(_powers) < n:
-        size = max(n, 4096)
-        steps = np.full(size, STEP)
-        steps[0] = 1
-        _powers = np.cumprod(steps, dtype=np.uint64)
-    return _powers
+def spots(n: int) -> np.ndarray:
+    """An odd factor for each place of a span, n of them at least. They follow no rule that texts could follow, too:
+    with powers of one number, texts that swap two parts by a regular pattern meet modulo 2 ** 64."""
+    global _spots
+    if len(_spots) < n:
+        _spots = mix(np.arange(1, max(2 * n, 4096) + 1, dtype=np.uint64) * STEP) | U(1)
+    return _spots
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -52,7 +52,7 @@ def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of non-empty byte spans."""
+    """64-bit hashes of non-empty byte spans. Where an equal hash decides, compare the bytes (``equal_spans``)."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
@@ -61,10 +61,36 @@ def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     kind = np.int32 if len(data) < 2**31 and total < 2**31 else np.int64
     place = np.arange(total, dtype=kind) - np.repeat(first.astype(kind), lengths)
     value = BYTE[data[np.repeat(starts.astype(kind), lengths) + place]]
-    value *= powers(int(lengths.max()))[place]
+    value *= spots(int(lengths.max()))[place]
     return mix(np.add.reduceat(value, first) + lengths.astype(np.uint64))
 
 
+def spread(counts: np.ndarray) -> np.ndarray:
+    """0 ... c - 1 for each count c, one after the other."""
+    cuts = np.concatenate([[0], np.cumsum(counts)])
+    return np.arange(cuts[-1]) - np.repeat(cuts[:-1], counts)
+
+
+def equal_spans(data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """True where two byte spans hold the same bytes."""
+    size = a_end - a
+    out = size == b_end - b
+    at = np.flatnonzero(out & (size > 0))
+    if len(at):
+        n = size[at]
+        step = spread(n)
+        same = data[np.repeat(a[at], n) + step] == data[np.repeat(b[at], n) + step]
+        out[at] = np.logical_and.reduceat(same, np.cumsum(n) - n)
+    return out
+
+
+def twins(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours of equal key, in order of the keys: of each run all but the last, and all but the first."""
+    order = np.argsort(keys, kind="stable")
+    same = np.flatnonzero(keys[order][1:] == keys[order][:-1])
+    return order[same], order[same + 1]
+
+
 class Words:
     """The words of a batch of texts: byte spans, row of each word, first word of each row."""
 
@@ -109,18 +135,6 @@ def per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def repeated(keys: np.ndarray) -> np.ndarray:
-    """True where a key occurs twice or more."""
-    if not len(keys):
-        return np.zeros(0, bool)
-    s = np.sort(keys)
-    twice = np.unique(s[1:][s[1:] == s[:-1]])
-    if not len(twice):
-        return np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(twice, keys), len(twice) - 1)
-    return twice[at] == keys
-
-
 def base_counts(array: pa.Array, words: Words | None = None) -> dict[str, np.ndarray]:
     """Per text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     w = words or Words(array)
@@ -137,15 +151,32 @@ def base_counts(array: pa.Array, words: Words | None = None) -> dict[str, np.nda
     ends = ends - ((ends > starts) & (data[np.maximum(ends - 1, 0)] == 10)) if len(starts) else ends
     full = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, starts) if len(starts) else np.zeros(0, bool)
     starts, ends, row = starts[full], ends[full], row[full]
-    key = mix(spans_hash(data, starts, ends) + (row.astype(np.uint64) + U(1)) * STEP)
-    distinct, at = np.unique(key, return_index=True)
-    dup_lines = np.bincount(row, minlength=w.rows) - np.bincount(row[at], minlength=w.rows)
+    salt = (np.arange(w.rows, dtype=np.uint64) + U(1)) * STEP
+    i, j = twins(mix(spans_hash(data, starts, ends) + salt[row]))
+    true = (row[i] == row[j]) & equal_spans(data, starts[i], ends[i], starts[j], ends[j])
+    dup_lines = np.bincount(row[j][true], minlength=w.rows)
+    for r in np.unique(row[np.concatenate([i[~true], j[~true]])]).tolist():  # different lines of one key
+        lines = [data[a:b].tobytes() for a, b in zip(starts[row == r], ends[row == r], strict=True)]
+        dup_lines[r] = len(lines) - len(set(lines))
     # Words under a 3-word window that the text holds twice or more.
     tri, first = w.windows(3)
-    again = first[repeated(mix(tri + (w.row[first].astype(np.uint64) + U(1)) * STEP))]
+    i, j = twins(mix(tri + salt[w.row[first]]))
+    i, j = first[i], first[j]
+    true = w.row[i] == w.row[j]
+    for k in range(3):
+        true &= equal_spans(data, w.starts[i + k], w.ends[i + k], w.starts[j + k], w.ends[j + k])
     covered = np.zeros(len(w.starts), bool)
-    for j in range(3):
-        covered[again + j] = True
+    for k in range(3):
+        covered[i[true] + k] = covered[j[true] + k] = True
+    for r in np.unique(w.row[np.concatenate([i[~true], j[~true]])]).tolist():  # different windows of one key
+        lo, hi = w.first[r], w.first[r + 1]
+        own = [data[a:b].tobytes() for a, b in zip(w.starts[lo:hi], w.ends[lo:hi], strict=True)]
+        grams = [tuple(own[k : k + 3]) for k in range(len(own) - 2)]
+        held = Counter(grams)
+        covered[lo:hi] = False
+        for k, gram in enumerate(grams):
+            if held[gram] > 1:
+                covered[lo + k : lo + k + 3] = True
     return {
         "n_words": w.count.astype(np.int64),
         "word_chars": per_row(point, offsets).astype(np.int64),
@@ -155,22 +186,34 @@ def base_counts(array: pa.Array, words: Words | None = None) -> dict[str, np.nda
     }
 
 
+GRAM = _rng.integers(1, 2**63, 3, dtype=np.uint64) * U(2) + U(1)
 CHAR_BUCKETS, WORD_BUCKETS = 4096, 2048
 BUCKETS = CHAR_BUCKETS + 2 * WORD_BUCKETS
 
 
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character (its UTF-8 bytes) and the row of each."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    points = data[lead].astype(np.uint64)
+    size = np.diff(np.append(lead, len(data)))
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        points[more] |= data[lead[more] + k].astype(np.uint64) << U(8 * k)
+    return points, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(lead, offsets)))
+
+
 def hashed_ngrams(array: pa.Array, words: Words | None = None) -> np.ndarray:
-    """A row per text: counts of hashed byte 3-grams, words and word pairs, square roots taken, each row of length 1."""
+    """A row per text: counts of hashed character 3-grams (code points), words and word pairs, square roots taken, each
+    row of length 1."""
     w = words or Words(array)
     data, offsets = w.data, w.offsets
     n = w.rows
     out = np.zeros((n, BUCKETS), np.float32)
-    if len(data) >= 3:
-        b = data.astype(np.uint32)
-        gram = (b[:-2] | (b[1:-1] << np.uint32(8)) | (b[2:] << np.uint32(16))) * np.uint32(2654435761)
-        row = np.repeat(np.arange(n), np.diff(offsets))
+    points, row = code_points(data, offsets)
+    if len(points) >= 3:
+        gram = points[:-2] * GRAM[0] + points[1:-1] * GRAM[1] + points[2:] * GRAM[2]
         same = row[:-2] == row[2:]
-        at = row[:-2][same] * CHAR_BUCKETS + (gram[same] >> np.uint32(20)).astype(np.int64)
+        at = row[:-2][same] * CHAR_BUCKETS + (gram[same] >> U(64 - CHAR_BUCKETS.bit_length() + 1)).astype(np.int64)
         out[:, :CHAR_BUCKETS] = np.bincount(at, minlength=n * CHAR_BUCKETS).reshape(n, CHAR_BUCKETS)
     shift = U(53)
     for k, lo in ((1, CHAR_BUCKETS), (2, CHAR_BUCKETS + WORD_BUCKETS)):

@@ -91,3 +91,11 @@ def jaccard_groups(docs, threshold=0.8):
     for a, (i, _) in enumerate(held):
         least[root(a)] = min(i, least.get(root(a), i))
     return [(i, least[root(a)], links[a]) for a, (i, _) in enumerate(held)]
+
+
+def thue_morse(n=10):
+    """Two texts of 2 ** n letters that swap a and b, and whose sums by powers of any odd number agree modulo 2 ** 64."""
+    t = "a"
+    for _ in range(n):
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))

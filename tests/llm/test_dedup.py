@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.llm import chosenpath, exact, substring
-from tests.llm.fixtures import awkward, empty, jaccard_groups, passage, removed_words, rows, words
+from tests.llm.fixtures import awkward, empty, jaccard_groups, passage, removed_words, rows, thue_morse, words
 
 
 def plain_exact(pairs):
@@ -190,6 +190,21 @@ def test_substrings_common_passage(spark):
     check_substrings(spark, df, pairs, bits=6, often=4)
 
 
+def test_substrings_of_texts_that_collide_in_polynomial_hashes(spark):
+    """Words that swap two letters by the Thue-Morse rule are not the same words."""
+    t, u = thue_morse()
+    head = " ".join("abcdefghijkl")
+    pairs = [(1, f"{head} {t}"), (2, f"{head} {u}"), (3, f"{head} {t}"), (4, f"x {head} {u}")]
+    check_substrings(spark, spark.createDataFrame(pairs, "doc_id long, text string"), pairs, bits=15)
+
+
+def test_substrings_of_copies(spark):
+    """Copies of a text, some of whose passages smaller ids have, and repeated rows of the smallest id."""
+    old, own = passage(30, 40), passage(31, 60)
+    pairs = [(5, old), (7, f"{own} {old}"), (7, f"{own} {old}"), (9, f"{own} {old}"), (8, f"{own} {old}"), (6, f"{own} tail"), (10, own), (10, "short"), (11, "short"), (None, own)]
+    check_substrings(spark, spark.createDataFrame(pairs, "doc_id long, text string"), pairs, bits=15)
+
+
 def test_cut_documents(spark):
     df = awkward(spark)
     pairs = [r[:2] for r in rows()]

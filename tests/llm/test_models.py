@@ -9,7 +9,7 @@ import pytest
 
 from sievework.llm import backoff, linear, quality, queries, ranking, toxicity
 from sievework.llm import textkernels as K
-from tests.llm.fixtures import awkward, empty, labels, rows, words
+from tests.llm.fixtures import awkward, empty, labels, rows, thue_morse, words
 
 
 def plain_counts(t):
@@ -28,7 +28,7 @@ def plain_counts(t):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, sum(hit)
 
 
-EXTRA = ["a b c\na b c\n\n a b c\na b c", "\n\n\n", "x\n", "x\r\nx\r\n", "é é é é\n# $ é é é", "a", "a b", "a b c a b c"]
+EXTRA = ["a b c\na b c\n\n a b c\na b c", "\n\n\n", "x\n", "x\r\nx\r\n", "é é é é\n# $ é é é", "a", "a b", "a b c a b c", "{}\n{}\n{}".format(*thue_morse(), thue_morse()[0])]
 
 
 def test_base_counts():
@@ -40,10 +40,30 @@ def test_base_counts():
     assert K.base_counts(sliced)["n_words"].tolist() == [plain_counts(t)[0] for t in texts]
 
 
+@pytest.mark.parametrize("keys", [1, 2])
+def test_base_counts_compare_bytes_where_keys_are_equal(monkeypatch, keys):
+    """With hashes of one or two values all lines and windows share keys."""
+    texts = [r[1] or "" for r in rows() if len(r[1] or "") < 3000] + EXTRA
+    monkeypatch.setattr(K, "spans_hash", lambda data, starts, ends: ((ends - starts) % keys).astype(np.uint64))
+    got = K.base_counts(pa.array(texts))
+    assert list(zip(*(v.tolist() for v in got.values()), strict=True)) == [plain_counts(t) for t in texts]
+
+
+def test_character_ngrams_are_of_code_points():
+    texts = ["añb", "añb ñ", "日本語", "", "ab", "a😀é"]
+    data, offsets = K.buffers(pa.array(texts))
+    points, row = K.code_points(data, offsets)
+    assert [bytes(int(p).to_bytes(4, "little")).rstrip(b"\0").decode() for p in points] == list("".join(texts))
+    assert row.tolist() == [i for i, t in enumerate(texts) for _ in t]
+    got = K.hashed_ngrams(pa.array(texts))[:, : K.CHAR_BUCKETS]
+    assert [(r > 0).sum() for r in got] == [len({t[k : k + 3] for k in range(len(t) - 2)}) for t in texts]
+
+
 def test_span_hashes_tell_words_apart():
     vocabulary = [f"w{i}" for i in range(20_000)] + ["a", "aa", "aaa", "ab", "ba"]
     w = K.Words(pa.array([" ".join(vocabulary)]))
     assert len(set(w.hash.tolist())) == len(vocabulary)
+    assert len(set(K.Words(pa.array([" ".join(thue_morse(12))])).hash.tolist())) == 2
 
 
 def test_quality_rules(spark):
