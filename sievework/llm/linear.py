@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.common import by_slices, texts
+from sievework.session import materialise
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -66,11 +67,16 @@ def logistic(X: np.ndarray, y: np.ndarray, ridge: float = 1e-3, weight: np.ndarr
     return v[:-1], float(v[-1])
 
 
+#: Most bytes of features that a sample may bring to the driver.
+FEATURE_BYTES = 128 << 20
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", halves: bool = False) -> DataFrame:
-    """(doc_id, text, y) of at most ``bound`` labelled rows, those of the smallest hash of the id.
+    """(doc_id, text, y) of at most ``bound`` labelled ids, those of the smallest hash, one row for each.
 
     allowed: a condition on doc_id that a training row must meet. Rows without a label are left out; of several
-    labels for one id the largest counts. halves: at most bound / 2 rows of either label.
+    labels for one id the largest counts, and of several rows of one id the text with the smallest hash. A null text
+    is empty. halves: at most bound / 2 rows of either label.
     """
     rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     if allowed is not None:
@@ -79,27 +85,47 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     parts = [(rows.where("y = 0"), bound // 2), (rows.where("y = 1"), bound // 2)] if halves else [(rows, bound)]
     chosen = [part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for part, most in parts]
     ids = [(r["doc_id"], r["y"]) for part in chosen for r in part.collect()]  # at most ``bound`` rows
-    table = docs.sparkSession.createDataFrame(ids, "doc_id long, y int")
-    return texts(docs, id_col, text_col).join(F.broadcast(table), "doc_id")
+    table = docs.sparkSession.createDataFrame(ids, "doc_id long, y int")  # at most ``bound`` rows of 12 bytes
+    found = texts(docs, id_col, text_col).join(F.broadcast(table), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
 
 
-def collect_features(sample: DataFrame, features: Callable[[pa.Array], np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The feature matrix and the labels of a bounded sample; features are computed by the executors and travel sparse."""
+def collect_sparse(sample: DataFrame, encode: Callable[[pa.Array], list[bytes]], most: int = FEATURE_BYTES) -> list[tuple[int, bytes]]:
+    """(y, encoded features) of a sample, in the order of the ids; the executors compute the features. Rows that would
+    bring more than ``most`` bytes to the driver in all are left out, those of the largest hash of the id first."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        X = features(batch.column(0))
-        at, values = [], []
-        for x in X:
+        data = pa.array(encode(batch.column(0)), pa.binary())
+        return pa.record_batch([batch.column(1), batch.column(2), data], ["doc_id", "y", "data"])
+
+    rows = materialise(sample.select("text", "doc_id", "y").mapInArrow(by_slices(run), "doc_id long, y int, data binary"), "features")
+    sizes = rows.select("doc_id", F.octet_length("data").alias("n"), F.xxhash64("doc_id").alias("h")).collect()  # at most the sample's bound
+    total, kept = 0, []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        total += r["n"]
+        if total > most:
+            break
+        kept.append(r["doc_id"])
+    if len(kept) < len(sizes):
+        rows = rows.join(F.broadcast(sample.sparkSession.createDataFrame([(i,) for i in kept], "doc_id long")), "doc_id", "left_semi")
+    got = rows.toArrow()
+    found = sorted(zip(got["doc_id"].to_pylist(), got["y"].to_pylist(), got["data"].to_pylist(), strict=True))
+    return [(y, data) for _, y, data in found]
+
+
+def collect_features(sample: DataFrame, features: Callable[[pa.Array], np.ndarray], width: int, most: int = FEATURE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """The feature matrix and the labels of a bounded sample, in the order of the ids."""
+
+    def encode(array: pa.Array) -> list[bytes]:
+        out = []
+        for x in features(array):
             used = np.flatnonzero(x)
-            at.append(used.astype("<u2").tobytes())
-            values.append(x[used].astype("<f4").tobytes())
-        return pa.record_batch([batch.column(1), pa.array(at, pa.binary()), pa.array(values, pa.binary())], ["y", "at", "x"])
-
-    got = sample.select("text", "y").mapInArrow(by_slices(run), "y int, at binary, x binary").toArrow()
-    # Whatever order the tasks ended in, the rows come in one order.
-    rows = sorted(zip(got["y"].to_pylist(), got["at"].to_pylist(), got["x"].to_pylist(), strict=True))
-    del got
+            out.append(used.astype("<u2").tobytes() + x[used].astype("<f4").tobytes())
+        return out
+
+    rows = collect_sparse(sample, encode, most)
     X = np.zeros((len(rows), width), np.float32)
-    for i, (_, a, v) in enumerate(rows):
-        X[i, np.frombuffer(a, "<u2")] = np.frombuffer(v, "<f4")
-    return X, np.array([r[0] for r in rows], dtype=float)
+    for i, (_, data) in enumerate(rows):
+        n = len(data) // 6
+        X[i, np.frombuffer(data, "<u2", n)] = np.frombuffer(data, "<f4", n, 2 * n)
+    return X, np.array([y for y, _ in rows], dtype=float)

@@ -1,6 +1,6 @@
 """Quality rules: plain counts of each text, and a calibrated logistic regression over hashed n-grams.
 
-The model is trained on labelled quality rows (at most ``SAMPLE`` of them): byte 3-grams, words and word pairs are
+The model is trained on labelled quality rows (at most ``SAMPLE`` of them): character 3-grams, words and word pairs are
 hashed into fixed buckets, the fit uses four fifths of the rows, and the rest calibrates the scores to probabilities
 (Platt scaling). Texts are scored in Arrow batches against fixed thresholds; the weights (32 KB) ride with the task.
 """
@@ -24,11 +24,14 @@ MIN_WORDS, MAX_REPEAT_PERCENT, MIN_PROBABILITY = 50, 50, 0.5
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality") -> tuple[np.ndarray, float]:
-    """Weights and intercept whose sigmoid is a calibrated probability of label 1.
+    """Weights and intercept, learnt from at most ``sample`` rows, whose sigmoid is a calibrated probability of label 1."""
+    found = fit(*collect_features(labelled_sample(docs, labels, label, sample), K.hashed_ngrams, K.BUCKETS))
+    release()
+    return found
 
-    Without rows of both labels the model is constant: probability 1 if no row is labelled 0, else 0.
-    """
-    X, y = collect_features(labelled_sample(docs, labels, label, sample), K.hashed_ngrams, K.BUCKETS)
+
+def fit(X: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Without rows of both labels the model is constant: probability 1 if no row is labelled 0, else 0."""
     if len(set(y.tolist())) < 2:
         return np.zeros(K.BUCKETS), 0.0 if not len(y) else 40.0 * (2 * y[0] - 1)
     part = np.arange(len(y)) % 5 == 4
@@ -43,8 +46,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
     high, low = (target == 1).sum(), (target == 0).sum()
     slope, shift = logistic(z[:, None].astype(float), np.where(target == 1, (high + 1) / (high + 2), 1 / (low + 2)), ridge=1e-6)
     slope = max(float(slope[0]), 1e-3)
-    del X
-    release()
     return w * slope, b * slope + shift
 
 
@@ -61,8 +62,8 @@ def judge(batch: pa.RecordBatch, w: np.ndarray, b: float) -> tuple[dict[str, np.
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, probability, kept.
 
-    A null or empty text has no words and fails the base rules. Repeated rows are judged one by one; other columns
-    are ignored; an empty table gives an empty result.
+    A null or empty text has no words and fails the base rules; very long texts are judged whole. Repeated rows are
+    judged one by one, those with a null id, too; other columns are ignored; an empty table gives an empty result.
     """
     w, b = train(docs, labels, sample)
 
@@ -75,7 +76,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that pass the rules, with all their columns, in one pass without a shuffle."""
+    """The rows of ``docs`` that pass the rules, with all their columns, in one pass without a shuffle.
+
+    Null and empty texts fail; very long texts are judged whole; repeated rows and rows with a null id are judged one
+    by one; other columns, whatever their names, come through; an empty table gives an empty result.
+    """
     w, b = train(docs, labels, sample)
     place = docs.columns.index(text_col)
 

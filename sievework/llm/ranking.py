@@ -74,7 +74,9 @@ def rank_quality(docs: DataFrame, labels: DataFrame, allowed=None, id_col: str =
     """Per document: doc_id, score (0 to 1, higher means that label 1 is likelier), predicted (1 from 0.5 up).
 
     allowed: a condition on doc_id that a row must meet to be learnt from. Null and empty texts are scored as texts
-    without words; repeated rows get equal scores; other columns are ignored.
+    without words; very long texts are scored whole; repeated rows get equal scores, and of an id that comes with
+    several texts one is learnt from; a null id is scored, too. Other columns are ignored; an empty table gives an
+    empty result; without labels of both kinds the score is constant.
     """
     ranking = train(docs, labels, allowed, sample)
 

@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from sievework.llm import textkernels as K
 from sievework.llm.common import by_slices, texts
-from sievework.llm.linear import labelled_sample, sigmoid
+from sievework.llm.linear import collect_sparse, labelled_sample, sigmoid
 
-#: Most labelled rows that a model is learnt from, and the number of passes over them.
+#: Most labelled rows that a model is learnt from (and, by FEATURE_BYTES of ``linear``, most bytes of their features)
+#: and passes over them.
 SAMPLE, PASSES = 12_000, 8
 BITS = 20
 STEMS = (4, 6)
@@ -73,46 +74,49 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, beta: float
     """
     if len(set(y.tolist())) < 2:
         return Sparse(np.zeros(0, np.int64), np.zeros(0), 20.0 if len(y) and y[0] == 1 else -20.0)
-    often = np.bincount(np.concatenate(rows), minlength=1 << BITS) >= 2
-    rows = [r[often[r]] for r in rows]
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    zb = nb = 0.0
+    used, count = np.unique(np.concatenate(rows), return_counts=True)
+    used = used[count >= 2]
+    place = np.full(1 << BITS, -1)
+    place[used] = np.arange(len(used))
+    rows = [own[own >= 0] for own in (place[r] for r in rows)]  # features by their place among those that take part
+    z, root = np.zeros(len(used)), np.zeros(len(used))  # root: of the sum of squared gradients
+    zb = rb = 0.0
     rng = np.random.default_rng(seed)
 
-    def weight(z, n):
-        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
+    def weight(z, root):
+        return (np.sign(z) * l1 - z) * (np.abs(z) > l1) / ((beta + root) / alpha + l2)
 
     for _ in range(passes):
-        for i in rng.permutation(len(rows)):
+        for i in rng.permutation(len(rows)).tolist():
             at = rows[i]
-            zi, ni = z[at], n[at]
-            w = weight(zi, ni)
-            wb = -zb / ((beta + nb**0.5) / alpha)
-            p = float(sigmoid(np.array(w.sum() + wb)))
-            g = p - y[i]
-            sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha
-            z[at] = zi + g - sigma * w
-            n[at] = ni + g * g
-            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / alpha * wb
-            nb += g * g
-    w = weight(z, n)
+            zi, ri = z[at], root[at]
+            w = weight(zi, ri)
+            wb = -zb / ((beta + rb) / alpha)
+            g = 1 / (1 + math.exp(-min(max(float(w.sum()) + wb, -40.0), 40.0))) - y[i]
+            grown = np.sqrt(ri * ri + g * g)
+            z[at] = zi + g - (grown - ri) / alpha * w
+            root[at] = grown
+            grown = math.sqrt(rb * rb + g * g)
+            zb += g - (grown - rb) / alpha * wb
+            rb = grown
+    w = weight(z, root)
     at = np.flatnonzero(w)
-    return Sparse(at, w[at], -zb / ((beta + nb**0.5) / alpha))
+    return Sparse(used[at], w[at], -zb / ((beta + rb) / alpha))
 
 
-def collect(sample: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct buckets of each row of a bounded sample, at most 2 ** BITS each, and the labels."""
+def encode(array: pa.Array) -> list[bytes]:
+    """The distinct buckets of each row."""
+    bucket, row, n = features(array)
+    pair = np.unique(row << BITS | bucket)
+    cuts = np.searchsorted(pair, np.arange(n + 1) << BITS)
+    low = (pair & ((1 << BITS) - 1)).astype("<u4")
+    return [low[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bucket, row, n = features(batch.column(0))
-        pair = np.unique(row << BITS | bucket)
-        cuts = np.searchsorted(pair, np.arange(n + 1) << BITS)
-        low = (pair & ((1 << BITS) - 1)).astype("<u4")
-        return pa.record_batch([batch.column(1), batch.column(2), pa.array([low[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["doc_id", "y", "at"])
 
-    got = sample.select("text", "doc_id", "y").mapInArrow(by_slices(run), "doc_id long, y int, at binary").toArrow()
-    rows = sorted(zip(got["doc_id"].to_pylist(), got["y"].to_pylist(), got["at"].to_pylist(), strict=True))
-    return [np.frombuffer(r[2], "<u4").astype(np.int64) for r in rows], np.array([r[1] for r in rows], dtype=float)
+def collect(sample: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct buckets of each row of a bounded sample, and the labels."""
+    rows = collect_sparse(sample, encode)
+    return [np.frombuffer(data, "<u4").astype(np.int64) for _, data in rows], np.array([y for y, _ in rows], dtype=float)
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed=None, sample: int = SAMPLE, label: str = "toxic") -> Sparse:
@@ -131,7 +135,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, allowed=None, id_col: str
     """Per document: doc_id, score (0 to 1, higher means that label 1 is likelier), predicted (1 from the threshold up).
 
     allowed: a condition on doc_id that a row must meet to be learnt from. Null and empty texts get the score of a
-    text without features; repeated rows get equal scores; other columns are ignored.
+    text without features; very long texts are scored whole; repeated rows get equal scores, and of an id that comes
+    with several texts one is learnt from; a null id is scored, too. Other columns are ignored; an empty table gives
+    an empty result; without labels of both kinds the score is constant.
     """
     model = train(docs, labels, allowed, sample)
 
