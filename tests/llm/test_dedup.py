@@ -43,6 +43,35 @@ def test_exact_with_colliding_hashes(spark, broken):
     assert Counter(map(tuple, exact.exact_dedup(df, **options).collect())) == plain_exact(pairs)
 
 
+def test_rows_find_their_entries_through_the_directory(spark, monkeypatch):
+    """A directory that sends lookups elsewhere than it sent the entries changes the result."""
+    pairs = [r[:2] for r in rows()] + [(100 + i, f"text {i % 60}") for i in range(200)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
+    assert Counter(map(tuple, exact.exact_dedup(df, bucket_entries=4).collect())) == plain_exact(pairs)
+    real, calls = exact.place, []
+
+    def wrong(rows, directory):
+        calls.append(1)
+        found = real(rows, directory)
+        return found if len(calls) == 1 else found.withColumn("bucket", F.col("bucket") + F.pmod("doc_id", F.lit(2)).cast("int"))
+
+    monkeypatch.setattr(exact, "place", wrong)
+    assert Counter(map(tuple, exact.exact_dedup(df, bucket_entries=4).collect())) != plain_exact(pairs)
+
+
+def test_buckets_hold_no_more_than_they_may(spark, monkeypatch):
+    pairs = [(i, f"text {i}") for i in range(3000)] + [(5000 + i, "hot") for i in range(3000)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
+    keyed = df.select("doc_id", F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("n_bytes"))
+    for most in (20, 3):  # directories of the depth that the load asks for, and of three bits, with further bits
+        monkeypatch.setattr(exact, "MAX_DEPTH", most)
+        _, index = exact.build_index(keyed, 50)
+        load = [r["count"] for r in index.groupBy("bucket", "part").count().collect()]
+        assert sum(load) == 3001 and len(load) > 40 and max(load) <= (50 if most == 20 else 100)
+        assert index.groupBy("key").agg(F.count_distinct("bucket", "part").alias("n")).where("n > 1").isEmpty()
+    assert Counter(map(tuple, exact.exact_dedup(df, bucket_entries=50).collect())) == plain_exact(pairs)
+
+
 def test_directory_doubles_until_no_bucket_is_overfull():
     rng = random.Random(0)
     counts = Counter(rng.randrange(256) for _ in range(2000)) | Counter({3: 400})
@@ -67,6 +96,9 @@ def test_keep_one(spark):
     texts = [r["text"] or "" for r in got.select("text").collect()]
     assert sorted(texts) == sorted({r[1] or "" for r in rows()})
     assert {r["doc_id"] for r in got.where("text like 'one'").collect()} == {10}
+    pairs = [(1, None), (1, ""), (1, ""), (None, "x"), (None, "x"), (2, "y"), (2, "y")]
+    got = exact.keep_one(spark.createDataFrame(pairs, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["text"] or "") for r in got) == {(1, ""): 1, (None, "x"): 1, (2, "y"): 1}
 
 
 def check_groups(spark, df, pairs, **options):
