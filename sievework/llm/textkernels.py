@@ -131,6 +131,12 @@ class Words:
 
 def per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of values over [offsets[i], offsets[i + 1])."""
+    if values.dtype.kind == "f":  # differences of running sums would lose digits
+        out = np.zeros(len(offsets) - 1, values.dtype)
+        some = offsets[1:] > offsets[:-1]
+        if some.any():
+            out[some] = np.add.reduceat(values, offsets[:-1][some])
+        return out
     total = np.concatenate([[0], np.cumsum(values)])
     return total[offsets[1:]] - total[offsets[:-1]]
 

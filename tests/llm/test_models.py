@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.llm import backoff, linear, quality, queries, ranking, toxicity
 from sievework.llm import textkernels as K
@@ -178,11 +179,27 @@ def plain_backoff(pairs, order=3, alpha=0.4, least=2):
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_backoff(spark, order, monkeypatch):
     monkeypatch.setattr(backoff, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(backoff, "PART_BYTES", 1000)  # more partitions than many blocks have n-grams
     pairs = [r[:2] for r in rows()]
     got = sorted((str(r["doc_id"]), r["n_tokens"], round(r["log_score"], 5)) for r in backoff.backoff_scores(awkward(spark), order=order).collect())
     assert got == sorted((str(i), n, round(s, 5)) for i, n, s in plain_backoff(pairs, order))
 
 
+def test_backoff_of_rows_in_changing_order(spark, tmp_path):
+    """Rows that come out of a shuffle are written first; stored rows are read as they are."""
+    assert not backoff.same_when_read_again(awkward(spark)) and not backoff.same_when_read_again(awkward(spark).orderBy("doc_id"))
+    awkward(spark).write.parquet(f"{tmp_path}/docs")
+    stored = spark.read.parquet(f"{tmp_path}/docs")
+    assert backoff.same_when_read_again(stored.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    one, two = (Counter((r["doc_id"], r["n_tokens"], round(r["log_score"], 9)) for r in backoff.backoff_scores(df).collect()) for df in (stored, awkward(spark)))
+    assert one == two
+
+
+def test_payloads_round_trip():
+    lists = [np.array([], np.uint64), np.array([2**64 - 1, 0, 5], np.uint64), np.arange(1000, dtype=np.uint64)]
+    assert [x.tolist() for x in backoff.stretch(backoff.squeeze(lists), 3)] == [x.tolist() for x in lists]
+
+
 def test_backoff_keeps_ngrams_apart_by_whole_hashes(monkeypatch):
     """N-grams whose hashes agree in all but the last bits have counts of their own."""
     near = np.array([5 << 16, (5 << 16) + 1, (5 << 16) + 1], np.uint64)
