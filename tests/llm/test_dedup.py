@@ -112,7 +112,7 @@ def test_jaccard(spark):
     assert [tuple(r) for r in lost] == [(None, None, None, 0)] * 2
 
 
-def test_jaccard_large_groups(spark):
+def test_jaccard_large_groups(spark, monkeypatch):
     """Near copies of one text, texts with one passage, and chains, through pivots, splits and blocks."""
     rng = random.Random(5)
     base, shared = passage(10, 150).split(), passage(11, 70)
@@ -127,6 +127,8 @@ def test_jaccard_large_groups(spark):
     pairs += [(200 + i, " ".join(chain[12 * i : 12 * i + 110])) for i in range(7)]
     df = spark.createDataFrame(pairs, "doc_id long, text string")
     check_groups(spark, df, pairs, small=6, block=16, depth=2)
+    monkeypatch.setattr(chosenpath, "DEAL", 0)  # splits to the last
+    check_groups(spark, df, pairs, small=4, block=16, depth=7)
 
 
 def test_jaccard_empty_and_stage(spark):
@@ -145,7 +147,7 @@ def test_runs_reach_the_recall():
     assert chosenpath.runs_for(0.999) > chosenpath.runs_for(0.99)
 
 
-@pytest.mark.parametrize("splits", [1, 5])
+@pytest.mark.parametrize("splits", [1, 5, 12])
 def test_recall_of_the_paths(splits):
     """Pairs that agree on just the threshold's share of coordinates meet in some bucket of the deepest split."""
     rng = np.random.default_rng(splits)
@@ -167,7 +169,7 @@ def test_recall_of_the_paths(splits):
 
 
 def test_runs_reach_the_recall_at_the_deepest_split(spark, monkeypatch):
-    """The root's split and ``depth`` more: 12 runs for 0.9999 at five splits."""
+    """The root's split and ``depth`` more: 13 runs for 0.9999, and no more however deep."""
     asked = []
 
     def root_buckets(classes, runs, threshold):
@@ -176,9 +178,10 @@ def test_runs_reach_the_recall_at_the_deepest_split(spark, monkeypatch):
 
     monkeypatch.setattr(chosenpath, "root_buckets", root_buckets)
     classes = spark.createDataFrame([(i, np.full(64, i, "<u4").tobytes()) for i in range(3)], "node long, sketch binary")
-    chosenpath.candidate_links(classes, chosenpath.THRESHOLD, chosenpath.RECALL, 32, chosenpath.DEPTH, 192)
-    chosenpath.candidate_links(classes, chosenpath.THRESHOLD, 0.99, 32, 1, 192)
-    assert asked == [chosenpath.runs_for(0.9999, 5), chosenpath.runs_for(0.99, 2)] == [12, 5]
+    chosenpath.candidate_links(classes, chosenpath.THRESHOLD, chosenpath.RECALL, 32, chosenpath.DEPTH)
+    chosenpath.candidate_links(classes, chosenpath.THRESHOLD, 0.99, 32, 1)
+    assert asked == [chosenpath.runs_for(0.9999, chosenpath.DEPTH + 1), chosenpath.runs_for(0.99, 2)] == [13, 5]
+    assert chosenpath.runs_for(0.9999, 1000) == 13
 
 
 def test_centres_separate_no_pair(spark):
