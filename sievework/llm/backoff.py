@@ -28,8 +28,8 @@ from sievework.llm.common import grouped, partitions, slices, task, texts
 from sievework.session import materialise
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
-BLOCK_BYTES = 12 << 20  # of text in a block
-PART_BYTES = 12 << 20  # of text for which there is one partition of the count tables; its n-grams take about twice that
+BLOCK_BYTES = 6 << 20  # of text in a block
+PART_BYTES = 8 << 20  # of text for which there is one partition of the count tables; its n-grams take about twice that
 HASH_BITS = 64  # of an n-gram's hash; fewer save disk, but let different n-grams share a count
 PART_BITS = 24  # leading bits of the hash that partitions are told by
 
@@ -52,15 +52,20 @@ def stretch(data: bytes, n: int) -> list[np.ndarray]:
 
 
 class Grams:
-    """The n-grams of a block: for each order the distinct hashes in order, their counts, and where each occurs."""
+    """The n-grams of a block: for each order the distinct hashes in order, their counts, and, if places are asked for,
+    the entry and the first word of each occurrence."""
 
-    def __init__(self, array: pa.Array, order: int, bits: int):
+    def __init__(self, array: pa.Array, order: int, bits: int, places: bool = True):
         self.words = K.Words(array)
         self.tables = []
         for n in range(1, order + 1):
             hashes, first = self.words.windows(n)
-            distinct, place, count = np.unique(hashes >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
-            self.tables.append((distinct, count, place, first))
+            hashes >>= np.uint64(64 - bits)
+            if places:
+                distinct, place = np.unique(hashes, return_inverse=True)
+                self.tables.append((distinct, None, place.astype(np.int32), first.astype(np.int32)))
+            else:
+                self.tables.append((*np.unique(hashes, return_counts=True), None, None))
 
     def score(self, totals: list[np.ndarray], alpha: float, min_count: int) -> tuple[np.ndarray, np.ndarray]:
         """Natural logarithms of S * N ** (tokens backed off to single words), summed for each text, and these tokens."""
@@ -117,7 +122,7 @@ def requests(source: DataFrame, parts: int, order: int, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, mark, table in blocks_of(batches):
-            grams = Grams(table.column(0), order, bits)
+            grams = Grams(table.column(0), order, bits, places=False)
             cuts = np.stack([np.concatenate([[0], np.searchsorted(t[0], bounds), [len(t[0])]]) for t in grams.tables])
             some = np.flatnonzero((cuts[:, 1:] > cuts[:, :-1]).any(0))
             for a in range(0, len(some), 256):
