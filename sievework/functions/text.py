@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,33 +31,6 @@ def code_tokens(text: Column | str) -> Column:
     return F.flatten(F.transform(segments, parts))
 
 
-def token_counts(text: Column | str, terms: list[str]) -> tuple[Column, list[Column]]:
-    """How many code tokens a text has, and how often each term is one, without building the tokens.
-
-    terms: lower-case letters and digits. Borders within segments are marked by \\u0001; then tokens are runs between
-    marks, and a segment with marks counts once more as a whole.
-    """
-    marked = F.regexp_replace(F.translate(F.coalesce(_col(text), F.lit("")), "\u0001", " "), CAMEL, "\u0001")
-    length = F.regexp_count(marked, F.lit("[a-zA-Z0-9]+")) + F.regexp_count(marked, F.lit("[a-zA-Z0-9]+(?:\u0001[a-zA-Z0-9]+)+"))
-    found = []
-    for term in terms:
-        parts = F.regexp_count(marked, F.lit(f"(?i)(?<![a-zA-Z0-9]){term}(?![a-zA-Z0-9])"))
-        if len(term) > 1:
-            inside, outside = "(?<![a-zA-Z0-9\u0001])", "(?![a-zA-Z0-9\u0001])"
-            split = F.regexp_count(marked, F.lit(f"(?i){inside}{'\u0001?'.join(term)}{outside}")) - F.regexp_count(marked, F.lit(f"(?i){inside}{term}{outside}"))
-            parts = parts + F.when(F.contains(marked, F.lit("\u0001")), split).otherwise(0)
-        found.append(parts)
-    return length, found
-
-
-def token_bag(text: Column | str) -> Column:
-    """The code tokens of a text in no particular order, by a few passes over the whole text."""
-    marked = F.regexp_replace(F.translate(F.coalesce(_col(text), F.lit("")), "\u0001", " "), CAMEL, "\u0001")
-    low = F.translate(marked, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    whole = F.regexp_extract_all(low, F.lit("[a-z0-9]+(?:\u0001[a-z0-9]+)+"), F.lit(0))
-    return F.filter(F.concat(F.split(low, "[^a-z0-9]+"), F.transform(whole, lambda x: F.translate(x, "\u0001", ""))), lambda x: x != "")
-
-
 def expand_camel(text: Column | str) -> Column:
     """Each word followed by its camel-case parts if it has several; white space stays as it is."""
     pieces = F.split(F.coalesce(_col(text), F.lit("")), r"(?<=\s)(?=\S)|(?<=\S)(?=\s)")
@@ -76,7 +51,13 @@ def plain_question(text: Column | str) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(_col(text), FTS_OPERATORS, " ")), r"\s+", " ")
 
 
-def template_query(text: Column | str, template: str = 'A document that answers the question "%s" would contain the following information:') -> Column:
+def clean_question(text: str) -> str:
+    """``plain_question`` of one text on the driver."""
+    return re.sub(r"\s+", " ", re.sub(FTS_OPERATORS, " ", text, flags=re.ASCII).strip(" "), flags=re.ASCII)
+
+
+def template_query(text: Column | str, template: str = "Passages about: %s") -> Column:
+    """The text put into a template, as a hypothetical passage for a retrieval."""
     return F.format_string(template, _col(text))
 
 

@@ -161,10 +161,11 @@ def estimated_jaccard(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v) / F.size(x)
 
 
-def bands(threshold: float, hashes: int = 128) -> tuple[int, int]:
-    """(bands, rows) with bands * rows = hashes whose chance of meeting at the threshold is nearest to a half."""
-    options = [(hashes // r, r) for r in range(1, hashes + 1) if hashes % r == 0]
-    return min(options, key=lambda o: abs(1 - (1 - threshold ** o[1]) ** o[0] - 0.5))
+def bands(threshold: float, hashes: int = 128, recall: float = 0.999) -> tuple[int, int]:
+    """(bands, rows) with bands * rows = hashes: the longest rows with which a pair at the threshold meets with the
+    given chance."""
+    options = [(hashes // r, r) for r in range(hashes, 0, -1) if hashes % r == 0]
+    return next((o for o in options if 1 - (1 - threshold ** o[1]) ** o[0] >= recall), (hashes, 1))
 
 
 def lsh_pairs(sets: DataFrame, threshold: float, hashes: int = 128, key: str = "q", items: str = "items") -> DataFrame:

@@ -79,13 +79,21 @@ def cascade(rule: Column, other: Column, confidence: Column, least: float = 0.6)
     return F.coalesce(rule, F.when(confidence >= least, other))
 
 
-def stratified_split(df: DataFrame, label: str, key: str, seed: int = 42, shares: tuple[float, float, float] = (0.7, 0.1, 0.2)) -> DataFrame:
-    """With ``part`` train, validate or test: exact shares within each label, by the rank of a seeded hash of the key."""
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(h, key)) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    share = rank / n
-    return df.withColumn("part", F.when(share < shares[0], "train").when(share < shares[0] + shares[1], "validate").otherwise("test"))
+def stratified_split(df: DataFrame, label: str, key: str, seed: int = 42, shares: tuple[float, float, float] = (0.7, 0.1, 0.2), buckets: int = 4096) -> DataFrame:
+    """With ``part`` train, validate or test: exact shares within each label, by the rank of a seeded hash of the key.
+
+    Ranks are counted in ``buckets`` of the hash, so that no label is sorted in one place.
+    """
+    h = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
+    rows = df.withColumn("_h", h).withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 6), 16, 10).cast("long") * buckets / (1 << 24)).cast("int"))
+    counts = rows.groupBy(F.col(label).alias("_l"), "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy("_l").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    counts = counts.select("_l", "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"), F.sum("_c").over(Window.partitionBy("_l")).alias("_n"))
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)) - 1)
+    share = (F.col("_base") + F.col("_r")) / F.col("_n")
+    out = ranked.withColumnRenamed("_b", "_own").join(counts, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_own") == F.col("_b")))
+    part = F.when(share < shares[0], "train").when(share < shares[0] + shares[1], "validate").otherwise("test")
+    return out.withColumn("part", part).select(*df.columns, "part")
 
 
 def unit_counts(events: DataFrame, key: str, order: Sequence[str], unit: str, change: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import decay
-from sievework.functions.text import plain_question
+from sievework.functions.text import clean_question
 from sievework.operators import filters
 from sievework.operators.lexical import bm25
 
@@ -99,8 +99,7 @@ def query(df: DataFrame, q: Query, as_of: Any = None) -> DataFrame:
     rows = matching(df, q)
     question = (q.question or "").strip()
     if q.order is Order.RELEVANCE and question:
-        clean = df.sparkSession.range(1).select(plain_question(F.lit(question)).alias("q")).first()["q"]
-        found = bm25(rows, clean, q.limit, id_col="memory_id", text_col="text")
+        found = bm25(rows, clean_question(question), q.limit, id_col="memory_id", text_col="text")
         return rows.join(F.broadcast(found.withColumnRenamed("id", "memory_id").withColumnRenamed("score", "relevance")), "memory_id").orderBy(F.desc("relevance"), "memory_id")  # at most ``limit`` rows
     if question and q.order is not Order.SALIENCE:
         rows = rows.where(filters.text_contains("text", question))

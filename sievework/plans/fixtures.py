@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.operators.lexical import Index, build_index
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_indexes: dict[tuple[str, str], Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """Stored postings of ``documents``, written on first use in a session and read by all queries after."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = build_index(table(spark, sf_dir, "documents"), id_col="doc_id")
+    return _indexes[key]
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.withColumns({"ts": F.col("ts").cast("timestamp"), "k": F.get_json_object("props", "$.k").cast("int"), "s": F.least(F.col("value") / 500.0, F.lit(1.0))})
@@ -100,11 +113,11 @@ MEMORY_SQL = """
 """
 
 
-def series(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per user: observations (t in seconds, v) and labels in order of (ts, event_id)."""
     e = events(spark, sf_dir)
     listed = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value", "event_type"))).alias("o"))
-    o = F.slice("o", 1, most) if most else F.col("o")
+    o = F.col("o")
     return listed.select("user_id", F.transform(o, lambda x: F.struct((F.unix_micros(x["ts"]) / 1e6).alias("t"), x["value"].alias("v"))).alias("obs"), F.transform(o, lambda x: x["event_type"]).alias("labels"))
 
 

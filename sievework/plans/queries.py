@@ -5,40 +5,23 @@ Doubles are rounded in results only, after ranking; every ranking has an id as i
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import decay, schema as S, sequences, similarity, text, trends
 from sievework.functions.vectors import softmax, truncate, vector
 from sievework.operators import analytics, cases as C, evaluation, filters as P, fusion, lexical, memory as M, retrieval, vector_search
 from sievework.plans import fixtures as X
+from sievework.plans.registry import QUERIES, SQL, query, r6
 from sievework.sources import corpus, logs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 AS_OF = "1999-01-01 00:00:00"
 NOW = "2024-01-31 00:00:00"
 WORDS = "the tion and"
 
 
-def query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def r6(c: Column | str, name: str | None = None) -> Column:
-    out = F.round(F.col(c) if isinstance(c, str) else c, 9)
-    return out.alias(name or c) if name or isinstance(c, str) else out
-
-
 # Retrieval
 
 
@@ -55,7 +38,7 @@ def dense_leg(spark: SparkSession, d: str, k: int = 40) -> DataFrame:
 
 
 def lexical_leg(spark: SparkSession, d: str, k: int = 40) -> DataFrame:
-    return lexical.bm25(docs(spark, d), WORDS, k)
+    return X.index(spark, d).search(spark, WORDS, k)
 
 
 COS = "list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)))"
@@ -102,9 +85,9 @@ def dense_topk_many(spark, d):
 @query("""WITH w AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS t FROM documents)
     SELECT id, round(score, 9) AS score FROM (SELECT id, sum(CAST(CASE t WHEN 'the' THEN 1.0 WHEN 'and' THEN 0.5 ELSE 2.0 END AS DOUBLE)) AS score FROM w WHERE t IN ('the', 'and', 'die') GROUP BY id) ORDER BY score DESC, id LIMIT 40""")
 def sparse_topk(spark, d):
-    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x.isin("the", "and", "die"))
-    counts = F.map_from_entries(F.transform(F.array_distinct(words), lambda t: F.struct(t, F.size(F.filter(words, lambda x: x == t)).cast("double"))))
-    rows = docs(spark, d).select("id", counts.alias("tokens"))
+    words = docs(spark, d).select("id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("t")).where("t <> ''")
+    counts = words.groupBy("id", "t").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    rows = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("tokens"))
     return vector_search.sparse_top_k(rows, {"the": 1.0, "and": 0.5, "die": 2.0}, 40).select("id", r6("score"))
 
 
@@ -116,11 +99,17 @@ def bm25_topk(spark, d):
 @query(f"WITH {LEGS_SQL} SELECT 'a' AS query_id, id, round(score, 9) AS score FROM bm25 WHERE id IN (SELECT id FROM bm25 ORDER BY score DESC, id LIMIT 20)")
 def bm25_many(spark, d):
     asked = spark.createDataFrame([("a", WORDS)], "query_id string, query string")
-    return lexical.bm25_many(docs(spark, d), asked, 20).select("query_id", "id", r6("score"))
+    return X.index(spark, d).search_many(spark, asked, 20).select("query_id", "id", r6("score"))
 
 
 @query(f"WITH {LEGS_SQL} SELECT id, round(score, 9) AS score FROM scored JOIN documents ON doc_id = id WHERE lang = 'en' ORDER BY scored.score DESC, id LIMIT 10")
 def bm25_filtered(spark, d):
+    found = X.index(spark, d).search(spark, WORDS, 10, only=docs(spark, d).where("lang = 'en'"))
+    return found.select("id", r6("score"))
+
+
+@query(f"WITH {LEGS_SQL} SELECT id, round(score, 9) AS score FROM scored JOIN documents ON doc_id = id WHERE lang = 'en' ORDER BY scored.score DESC, id LIMIT 10")
+def bm25_of_texts(spark, d):
     found = lexical.bm25(docs(spark, d), WORDS, 10, predicate=F.col("lang") == "en")
     return found.select("id", r6("score"))
 
@@ -158,7 +147,7 @@ def quality_leg(spark, d):
 
 @query(f"WITH {LEGS_SQL} SELECT id, round(bm25.score * (1 + coalesce(least(n_chars / 5000.0, 1.0) * 0.2, 0)), 9) AS score FROM bm25 JOIN documents ON doc_id = id")
 def payload_boost(spark, d):
-    found = lexical.bm25(docs(spark, d), WORDS, 40, keep=["n_chars"])
+    found = lexical.with_columns(lexical_leg(spark, d), docs(spark, d), ["n_chars"])
     return fusion.payload_boost(found, "n_chars", 5000.0, 0.2).select("id", r6("score"))
 
 
@@ -185,11 +174,23 @@ def payload_filter_range(spark, d):
     return metadata(spark, d).where(P.payload(P.Between("n_chars", 500, 2000))).select("id")
 
 
-@query("""WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS a FROM embeddings)
-    SELECT n.id FROM e n WHERE n.id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM (SELECT a AS b, label AS l2 FROM e WHERE id % 2 = 0) s WHERE s.l2 = n.label AND """ + COS.replace("(a", "(n.a").replace(", a)", ", n.a)") + " >= 0.5)")
-def near_copies_at_ingest(spark, d):
+NEAR_SQL = """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings)
+    SELECT n.id FROM e n WHERE n.id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM (SELECT a AS b FROM e WHERE id % 2 = 0) s WHERE """ + COS.replace("(a", "(n.a").replace(", a)", ", n.a)") + " >= {})"
+
+
+def ingested(spark, d, threshold):
     e = X.table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
-    return vector_search.without_near_copies(e.where("id % 2 = 1"), e.where("id % 2 = 0"), 0.5, ["label"]).select("id")
+    return vector_search.without_near_copies(e.where("id % 2 = 1"), e.where("id % 2 = 0"), threshold).select("id")
+
+
+@query(NEAR_SQL.format(0.95))
+def near_copies_at_ingest(spark, d):
+    return ingested(spark, d, 0.95)
+
+
+@query(NEAR_SQL.format(0.5))
+def near_copies_at_half(spark, d):
+    return ingested(spark, d, 0.5)
 
 
 @query("""WITH e AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[])[1:16], lambda x: x) AS v FROM embeddings)
@@ -211,9 +212,7 @@ def classifier_head(spark, d):
     b AS (SELECT id, grade, 1 AS pass, position FROM f WHERE grade <> 'INCORRECT' UNION ALL SELECT id, grade, 2, position FROM g CROSS JOIN need WHERE need AND position BETWEEN 11 AND 30 AND grade <> 'INCORRECT')
     SELECT id, grade FROM b ORDER BY (grade <> 'CORRECT')::INT, pass, position LIMIT 10""")
 def corrective_retrieval(spark, d):
-    found = lexical.bm25(docs(spark, d), WORDS, 30)
-    from pyspark.sql import Window
-
+    found = lexical_leg(spark, d, 30)
     placed = found.withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # 30 rows
     grader = lambda _: retrieval.grade(F.element_at(F.array(F.lit(0.1), F.lit(0.9), F.lit(0.5)), (F.col("id") % 3 + 1).cast("int")))
     return retrieval.corrective(placed.where("position <= 10"), placed, 10, grader, ["id"]).select("id", "grade")
@@ -221,16 +220,28 @@ def corrective_retrieval(spark, d):
 
 @query(f"WITH {LEGS_SQL} SELECT id, round(n_chars / 1000.0, 9) AS score, round(bm25.score, 9) AS first_score FROM bm25 JOIN documents ON doc_id = id WHERE id IN (SELECT id FROM bm25 ORDER BY bm25.score DESC, id LIMIT 30) ORDER BY n_chars DESC, id LIMIT 5")
 def rerank_topk(spark, d):
-    found = lexical.bm25(docs(spark, d), WORDS, 40, keep=["n_chars"])
+    found = lexical.with_columns(lexical_leg(spark, d), docs(spark, d), ["n_chars"])
     return retrieval.rerank(found, lambda _: F.col("n_chars") / 1000.0, 5).select("id", r6("score"), r6("first_score"))
 
 
-@query()
+EXPANDED = {("a", 0): ("the",), ("a", 1): ("the", "and"), ("a", 2): ("passages", "about", "the"), ("b", 0): ("die",), ("b", 1): ("die", "and"), ("b", 2): ("passages", "about", "die")}
+ASKED_SQL = ", ".join(f"('{q}', {v}, '{t}')" for (q, v), terms in EXPANDED.items() for t in terms)
+EVERY_TERM = ", ".join(sorted({f"'{t}'" for terms in EXPANDED.values() for t in terms}))
+
+
+@query(f"""WITH {LEGS_SQL.replace("('the', 'tion', 'and')", f"({EVERY_TERM})")}, asked(query_id, variant, term) AS (VALUES {ASKED_SQL}),
+    hits AS (SELECT query_id, variant, tf2.id, sum(ln((stat.n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lens.n / m)) ORDER BY asked.term) AS score
+             FROM asked JOIN tf2 ON tf2.term = asked.term JOIN df ON df.term = asked.term JOIN lens ON lens.id = tf2.id CROSS JOIN stat GROUP BY 1, 2, 3),
+    best AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, id) AS r FROM hits),
+    held AS (SELECT * FROM best WHERE r <= 20), legs_of AS (SELECT query_id, count(DISTINCT variant) AS legs FROM held GROUP BY 1),
+    fused AS (SELECT held.query_id, id, sum(1.0 / (60 + r)) / (any_value(legs) / 61.0) AS s FROM held JOIN legs_of ON legs_of.query_id = held.query_id GROUP BY 1, 2),
+    cut AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM fused)
+    SELECT query_id, id, round(s, 9) AS score FROM cut WHERE r <= 10""")
 def expansion_fan_out(spark, d):
     queries_ = spark.createDataFrame([("a", "the"), ("b", "die")], "query_id string, text string")
     variants = retrieval.expand(queries_, [lambda t: F.concat(t, F.lit(" and")), lambda t: text.template_query(t)])
     named = variants.select(F.concat_ws("#", "query_id", "variant").alias("query_id"), F.col("expanded").alias("query"))
-    found = lexical.bm25_many(docs(spark, d), named, 20)
+    found = X.index(spark, d).search_many(spark, named, 20)
     found = found.select(F.substring_index("query_id", "#", 1).alias("query_id"), F.substring_index("query_id", "#", -1).alias("variant"), "id", "score")
     return retrieval.fan_out(found, 10).select("query_id", "id", r6("score"))
 
@@ -253,10 +264,10 @@ def case_similarity(spark, d):
     return C.similar(rows, SCHEMA, ASKED, WEIGHTS, 0.5, 50).select("case_id", r6("score"))
 
 
-@query(f"WITH {X.CASES_SQL}, {PARTS_SQL} SELECT case_id, round(2 * a / 7, 9) AS priority_part, round(3 * c / 7, 9) AS price_part FROM sc WHERE case_id % 10 = 0")
+@query(f"WITH {X.CASES_SQL}, {PARTS_SQL} SELECT case_id, round(2 * a / 7, 9) AS priority_part, round(3 * c / 7, 9) AS price_part FROM sc")
 def case_breakdown(spark, d):
     b = similarity.breakdown(SCHEMA, ASKED, WEIGHTS)
-    return X.cases(spark, d).where("case_id % 10 = 0").select("case_id", r6(b["priority"], "priority_part"), r6(b["price"], "price_part"))
+    return X.cases(spark, d).select("case_id", r6(b["priority"], "priority_part"), r6(b["price"], "price_part"))
 
 
 @query(f"""WITH {X.CASES_SQL}, dd AS (SELECT case_id, abs(price - 150000) / 500000 AS d, greatest(100000 - price, price - 200000, 0) / 500000 AS dr FROM cases)
@@ -331,9 +342,9 @@ def outcome_ema(spark, d):
     return C.fold_outcomes(e).select("case_id", r6("confidence"), "applied")
 
 
-@query("""SELECT CAST(l_linenumber AS VARCHAR) AS step, count(*) AS occurrences, count(*) FILTER (WHERE l_returnflag = 'R') AS returned FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1""")
+@query("""SELECT CAST(l_linenumber AS VARCHAR) AS step, count(*) AS occurrences, count(*) FILTER (WHERE l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1""")
 def plan_consensus(spark, d):
-    li = X.table(spark, d, "lineitem").where("l_orderkey % 20 = 0")
+    li = X.table(spark, d, "lineitem")
     steps = li.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").cast("string").alias("step"), (F.col("l_suppkey") % 5).cast("string").alias("worker"), F.col("l_returnflag").alias("outcome"), (F.col("l_linenumber") % 2).alias("priority"))
     return C.step_consensus(steps).select("step", "occurrences", F.coalesce(F.try_element_at("outcomes", F.lit("R")), F.lit(0)).cast("long").alias("returned"))
 
@@ -495,7 +506,7 @@ def query_clusters(spark, d):
     return analytics.query_clusters(edges(spark, d), 0.37).select("cluster", "size")
 
 
-@query()
+@query(f"WITH {X.LOG_SQL}, {EDGES_SQL}, {PAIRS_SQL} SELECT q1, q2, round(jaccard, 9) AS jaccard FROM pairs WHERE jaccard >= 0.37")
 def lsh_pairs(spark, d):
     sets = edges(spark, d).groupBy(F.col("query").alias("q")).agg(F.collect_set("doc").alias("items"))
     return analytics.lsh_pairs(sets, 0.37).select("q1", "q2", r6("jaccard"))
@@ -537,11 +548,11 @@ def change_points(spark, d):
     return X.series(spark, d).select("user_id", trends.change_points(trends.field("obs", "v")).alias("alarms"))
 
 
-@query("""WITH l AS (SELECT user_id, string_agg(substr(event_type, 1, 1), '' ORDER BY ts, event_id) AS s, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) WHERE i <= 20 GROUP BY 1),
+@query("""WITH l AS (SELECT user_id, string_agg(substr(event_type, 1, 1), '' ORDER BY ts, event_id) AS s, count(*) AS n FROM events GROUP BY 1),
     q AS (SELECT s AS qs, n AS qn FROM l WHERE user_id = (SELECT min(user_id) FROM events))
     SELECT user_id, round(1 - levenshtein(qs, s) / CAST(greatest(qn, n) AS DOUBLE), 9) AS score FROM l CROSS JOIN q""")
 def edit_distance(spark, d):
-    s = X.series(spark, d, 20)
+    s = X.series(spark, d)
     asked = s.orderBy("user_id").first()["labels"]
     return s.select("user_id", r6(sequences.edit(asked, F.col("labels")), "score"))
 
@@ -549,9 +560,17 @@ def edit_distance(spark, d):
 GAME = S.TimeSeries("obs", "t", (S.Numeric("t", 0, 1), S.Numeric("v", 0, 500)), band=4)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SERIES_SQL}, c AS (SELECT user_id, list(v / 500.0 ORDER BY i) AS b, count(*) AS m FROM o GROUP BY 1),
+    q AS (SELECT b AS a, m AS n FROM c WHERE user_id = (SELECT min(user_id) FROM c)),
+    s AS (SELECT user_id, a, b, n, m, greatest(4, abs(n - m)) AS w FROM c CROSS JOIN q),
+    f AS (SELECT user_id, CAST(0 AS BIGINT) AS i, list_prepend(0.0::DOUBLE, list_transform(range(m), lambda x: 1e308::DOUBLE)) AS row FROM s
+          UNION ALL SELECT f.user_id, f.i + 1, list_reduce(range(1, s.m + 1), lambda acc, j: list_append(acc, CASE WHEN abs(f.i + 1 - j) > s.w THEN 1e308::DOUBLE ELSE least(1e308::DOUBLE, abs(s.a[f.i + 1] - s.b[j]) + least(acc[j], f.row[j], f.row[j + 1])) END), [1e308::DOUBLE])
+          FROM f JOIN s ON s.user_id = f.user_id WHERE f.i < s.n),
+    r AS (SELECT f.user_id, 1 / (1 + f.row[s.m + 1] / greatest(s.n, s.m)) AS score FROM f JOIN s ON s.user_id = f.user_id WHERE f.i = s.n),
+    k AS (SELECT s.user_id, coalesce(sum(greatest(a[i] - (SELECT max(x) FROM unnest(b[greatest(i - 4, 1):i + 4]) AS t(x)), (SELECT min(x) FROM unnest(b[greatest(i - 4, 1):i + 4]) AS t(x)) - a[i], 0)), 0) AS bound FROM s, unnest(range(1, least(n, m) + 1)) AS u(i) GROUP BY 1)
+    SELECT r.user_id, round(score, 9) AS score, round(bound, 9) AS bound FROM r JOIN k ON k.user_id = r.user_id""")
 def dtw_similarity(spark, d):
-    s = X.series(spark, d, 16)
+    s = X.series(spark, d)
     asked = [{"t": o["t"], "v": o["v"]} for o in s.orderBy("user_id").first()["obs"]]
     return s.select("user_id", r6(sequences.dtw(asked, F.col("obs"), GAME), "score"), r6(sequences.lower_bound([o["v"] for o in asked], trends.field("obs", "v"), 4, 500.0), "bound"))
 
@@ -604,7 +623,7 @@ def page_text(spark, d):
 
 @query(f"WITH {LEGS_SQL} SELECT round(avg(CASE WHEN coalesce(quality, 0) >= 1 THEN 1.0 ELSE 0 END), 9) AS precision FROM (SELECT * FROM bm25 ORDER BY score DESC, id LIMIT 20) t LEFT JOIN labels ON doc_id = t.id")
 def precision_at_k(spark, d):
-    found = lexical.bm25(docs(spark, d), WORDS, 20)
+    found = lexical_leg(spark, d, 20)
     judged = evaluation.judged(found, X.table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("judgement")), ["id"])
     return evaluation.precision(judged, []).select(r6("precision"))
 
@@ -631,9 +650,10 @@ def unit_counts(spark, d):
     return evaluation.unit_counts(e, "user_id", ["ts", "event_id"], "unit", "change").select("event_id", F.col("count").cast("long").alias("count"))
 
 
-@query()
+@query("""WITH r AS (SELECT *, (row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || doc_id), doc_id) - 1) / CAST(count(*) OVER (PARTITION BY quality) AS DOUBLE) AS share FROM labels)
+    SELECT doc_id, quality, CASE WHEN share < 0.7 THEN 'train' WHEN share < 0.7 + 0.1 THEN 'validate' ELSE 'test' END AS part FROM r""")
 def stratified_split(spark, d):
-    return evaluation.stratified_split(X.table(spark, d, "labels"), "quality", "doc_id").groupBy("quality", "part").agg(F.count(F.lit(1)).alias("n"))
+    return evaluation.stratified_split(X.table(spark, d, "labels"), "quality", "doc_id").select("doc_id", "quality", "part")
 
 
 @query("""WITH f AS (SELECT user_id, min(epoch(CAST(ts AS TIMESTAMP))) FILTER (WHERE event_type = 'purchase') AS p, min(epoch(CAST(ts AS TIMESTAMP))) FILTER (WHERE event_type = 'signup') AS s, count(*) FILTER (WHERE event_type = 'error') AS e FROM events GROUP BY 1)
@@ -647,9 +667,9 @@ def rule_labels(spark, d):
 # More of the surface: nested and semantic similarity, caches, log scans, lifecycle, integrity
 
 
-@query("""SELECT l_orderkey AS case_id, l_linenumber AS line, round((greatest(0, 1 - abs(l_quantity - 20) / 50) + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) / 2, 9) AS score FROM lineitem WHERE l_orderkey % 10 = 0""")
+@query("""SELECT l_orderkey AS case_id, l_linenumber AS line, round((greatest(0, 1 - abs(l_quantity - 20) / 50) + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) / 2, 9) AS score FROM lineitem""")
 def case_nested(spark, d):
-    li = X.table(spark, d, "lineitem").where("l_orderkey % 10 = 0")
+    li = X.table(spark, d, "lineitem")
     o = F.struct(F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"))
     fields = (S.Numeric("quantity", 0, 50), S.Categorical("flag"))
     return li.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("line"), r6(similarity.inner({"quantity": 20.0, "flag": "R"}, o, fields), "score"))
@@ -737,3 +757,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rrf_fusion(spark, sf_dir)
 
 
+from sievework.plans import surface  # noqa: E402, F401  registers the rest of the surface

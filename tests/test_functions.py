@@ -4,11 +4,12 @@ import math
 from datetime import timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import decay, schema as S, sequences, similarity as M, text, trends, vectors
-from sievework.operators.lexical import tokens_of
+from sievework.operators.lexical import token_table, tokens_of
 
 
 def value(spark, column):
@@ -48,15 +49,20 @@ def test_code_tokens(spark, source, tokens):
     assert value(spark, text.code_tokens(F.lit(source).cast("string"))) == tokens == tokens_of(source)
 
 
-def test_token_counts(spark):
-    samples = ["chatModel ChatModel chatmodel CHATMODEL chat", "BM25 bm25 x9 BM-25 HTTPClient", "", None, "a\u0001b aB é1 aİ The the THE theThe", "one two", "A1b2C3"]
-    terms = ["chat", "chatmodel", "bm25", "25", "a", "the", "thethe", "b2"]
-    df = spark.createDataFrame([(t,) for t in samples], "t string")
-    length, found = text.token_counts("t", terms)
-    for row in df.select("t", length.alias("n"), F.array(*found).alias("tf"), text.token_bag("t").alias("bag")).collect():
-        tokens = tokens_of(row["t"])
-        assert sorted(row["bag"]) == sorted(tokens)
-        assert row["n"] == len(tokens) and row["tf"] == [tokens.count(t) for t in terms], row
+def test_token_table():
+    samples = ["chatModel ChatModel chatmodel CHATMODEL chat", "BM25 bm25 x9 BM-25 HTTPClient", "", None, "a\u0001b aB é1 aİ The THE theThe", "one two", "A1b2C3", "x" * 300 + "Y", "aB", "cD"]
+    for column in (pa.array(samples), pa.array(samples, pa.large_string()), pa.array(["zZ9", *samples])[1:]):
+        tokens, row = token_table(column)
+        got = [[] for _ in samples]
+        for token, r in zip(tokens.to_pylist(), row.tolist(), strict=True):
+            got[r].append(token)
+        assert [sorted(x) for x in got] == [sorted(tokens_of(t)) for t in samples]
+    assert len(token_table(pa.array([], pa.string()))[0]) == 0
+
+
+def test_clean_question(spark):
+    for q in ('what "is" a* (b):c^d+e-f?', "  two   words ", "", "tab\tand\nline"):
+        assert value(spark, text.plain_question(F.lit(q))) == text.clean_question(q)
 
 
 def test_text(spark):
@@ -238,6 +244,30 @@ def test_lower_bound_is_one(spark):
         assert got <= cost[-1, -1] + 1e-9
 
 
+def test_batch_kernels_are_the_pair_kernels():
+    rng = np.random.default_rng(0)
+    for trial in range(120):
+        n = int(rng.integers(0, 9))
+        q, cases = rng.random((n, 2)), [rng.random((int(rng.integers(0, 9)), 2)) for _ in range(7)]
+        if n and trial % 5 == 0:
+            q[0, 0] = np.nan
+        window = (None, 0, 2, 4)[trial % 4]
+        slope, abandon = None if window is not None else (None, 1.5, 2.0)[trial % 3], (None, 0.7, 3)[trial % 3]
+        assert sequences.dtw_scores(q, cases, window, slope, abandon) == pytest.approx([sequences.dtw_score(q, c, window, slope, abandon) for c in cases])
+        a, lists = [str(x) for x in rng.integers(0, 4, n)], [[str(x) for x in rng.integers(0, 5, int(rng.integers(0, 7)))] for _ in range(6)]
+        costs, table = ((1.0, 1.0), (0.5, 0.25), (2.0, 1.0))[trial % 3], (None, {("0", "1"): 0.5})[trial % 2]
+        assert sequences.edit_scores(a, lists, costs, table) == pytest.approx([sequences.edit_score(a, c, costs, table) for c in lists])
+
+
+def test_edit_expression(spark):
+    lists = [["a", "b", "c"], [], ["x", "y"], ["a"], None, ["b", "a", "x", "c", "c"]]
+    rows = spark.createDataFrame([(x,) for x in lists], "l array<string>")
+    for query in (["a", "b"], [], ["a", "b", "b", "c"]):
+        for table in (None, {("a", "x"): 0.5}):
+            got = [r["v"] for r in rows.select(sequences.edit(query, F.col("l"), table=table).alias("v")).collect()]
+            assert got == [None if x is None else pytest.approx(sequences.edit_score(query, x, table=table)) for x in lists]
+
+
 def test_edit(spark):
     assert sequences.edit_score("kitten", "sitting") == pytest.approx(1 - 3 / 7)
     assert sequences.edit_score([], []) == 1 and sequences.edit_score(["a"], []) == 0

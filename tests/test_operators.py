@@ -3,6 +3,7 @@
 import math
 from datetime import timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,13 +95,50 @@ def test_bm25(spark):
     assert scores(many) == scores(lexical.bm25(df, "cat sat"))
 
 
+def test_stored_postings(spark, tmp_path):
+    texts = ["cat sat cat", "dog sat", "", None, "CatSat cat9 sat", "cat sat cat", "none of these"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    index = lexical.build_index(df, f"file://{tmp_path}/index", buckets=4)
+    for q in ("cat Sat", "cat cat dog", "9", "missing", "!"):
+        assert scores(index.search(spark, q)) == pytest.approx(scores(lexical.bm25(df, q)))
+    best = [(r["id"], r["score"]) for r in index.search(spark, "cat sat", 2).collect()]
+    assert [i for i, _ in best] == [0, 5] and best[0][1] == best[1][1]
+    assert ids(index.search(spark, "cat sat", only=df.where("id > 3"))) == [4, 5]
+    asked = spark.createDataFrame([("a", "cat sat"), ("b", "dog dog"), ("c", "missing")], "query_id string, query string")
+    for found in (index.search_many(spark, asked, 5), lexical.bm25_many(df, asked, 5)):
+        got = {(r["query_id"], r["id"]): pytest.approx(r["score"]) for r in found.collect()}
+        assert got == {(q, i): s for q, t in (("a", "cat sat"), ("b", "dog dog")) for i, s in scores(lexical.bm25(df, t)).items()}
+    plan = index.postings(spark, ["cat"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,cat)]" in plan
+    none = lexical.build_index(df.limit(0), f"file://{tmp_path}/none")
+    assert none.search(spark, "cat").count() == 0
+
+
+def test_near_copies_are_all_found(spark):
+    """Random, clustered, null and zero vectors, against all pairs."""
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((20, 8))
+    vectors = [(base[i % 20] + 0.25 * rng.standard_normal(8)).tolist() for i in range(400)] + [None, [0.0] * 8, [None] + [1.0] * 7]
+    df = spark.createDataFrame(list(enumerate(vectors)), "id long, embedding array<double>").repartition(5)
+    new, stored = df.where("id % 3 = 0"), df.where("id % 3 > 0")
+    X = np.array([v if v is not None and None not in v else [0.0] * 8 for v in vectors])
+    unit = X / np.maximum(np.linalg.norm(X, axis=1, keepdims=True), 1e-9)
+    for threshold in (0.5, 0.9, 0.95, 0.99):
+        hit = (unit[0::3] @ unit[np.arange(len(X)) % 3 > 0].T >= threshold).any(1)
+        want = [i for i, h in zip(range(0, len(X), 3), hit, strict=True) if not h]
+        assert ids(V.without_near_copies(new, stored, threshold, pivots=6, block=16)) == want
+    assert ids(V.without_near_copies(new, stored.limit(0), 0.9)) == list(range(0, len(X), 3))
+
+
 def test_vector_search(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 1.0])], "id long, embedding array<float>")
     assert [r["id"] for r in V.dense_top_k(df, [1.0, 0.1], 2).collect()] == [1, 2]
     many = V.dense_top_k_many(df, {"a": [1, 0], "b": [0, 1]}, 1)
     assert {r["query_id"]: r["id"] for r in many.collect()} == {"a": 1, "b": 3}
     new = spark.createDataFrame([(9, [1.0, 0.01]), (10, [0.5, -0.5])], "id long, embedding array<float>")
-    assert ids(V.without_near_copies(new.withColumn("b", F.lit(1)), df.withColumn("b", F.lit(1)), block=["b"])) == [10]
+    assert ids(V.without_near_copies(new, df)) == [10]
+    odd = df.unionByName(spark.createDataFrame([(4, None), (5, [0.0, 0.0])], df.schema))
+    assert {r["id"] for r in V.dense_top_k_many(odd, {"a": [1, 0]}, 9).collect()} == {1, 2, 3}
     sparse = spark.createDataFrame([(1, {5: 2.0}), (2, {6: 1.0, 5: 1.0}), (3, {7: 1.0})], "id int, tokens map<int,float>")
     assert scores(V.sparse_top_k(sparse, {5: 1.0, 6: 3.0})) == {1: 2.0, 2: 4.0}
     late = spark.createDataFrame([(1, [[1.0, 0.0]]), (2, [[0.0, 1.0], [1.0, 0.0]])], "id int, vectors array<array<float>>")
