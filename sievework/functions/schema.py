@@ -163,6 +163,11 @@ def typed(value: Any) -> Any:
     raise TypeError(f"no feature value: {type(value).__name__}")
 
 
+def raw_json(*columns: str) -> Column:
+    """Features as one JSON object; missing ones are left out."""
+    return F.to_json(F.struct(*columns))
+
+
 def check_query(schema: Schema, query: Mapping[str, Any]) -> None:
     """Raise if a value does not fit the field of its name; names outside the schema are ignored."""
     for name, value in query.items():

@@ -80,6 +80,11 @@ def trend_name(series: str, trend: str, inner: str | None = None) -> str:
     return f"{series}_{trend.lower()}_{inner}" if inner else f"{series}_{trend.lower()}"
 
 
+#: The phrases of an explanation.
+HEAD = "Retrieved %d %s (mode: %s, caseType: %s)."
+TOP, FEATURES = "\nTop match:", "\nFeature breakdown: "
+
+
 def explanation(count: Column, mode: Column | str, case_type: Column | str, top_id: Column, top_score: Column, confidence: Column, features: Column) -> Column:
     """A retrieval in words: number of cases, mode and type; then the best match and its features, best first.
 
@@ -88,14 +93,14 @@ def explanation(count: Column, mode: Column | str, case_type: Column | str, top_
     mode, case_type = (F.lit(x) if isinstance(x, str) else x for x in (mode, case_type))
     order = lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1).when(a["key"] < b["key"], -1).otherwise(1)
     shown = F.array_join(F.transform(F.array_sort(F.map_entries(features), order), lambda p: F.format_string("%s=%.2f", p["key"], p["value"])), ", ")
-    head = F.format_string("Retrieved %d %s (mode: %s, caseType: %s).", count, F.when(count == 1, "case").otherwise("cases"), mode, case_type)
+    head = F.format_string(HEAD, count, F.when(count == 1, "case").otherwise("cases"), mode, case_type)
     best = F.concat(
-        F.lit("\nTop match:"),
+        F.lit(TOP),
         F.coalesce(F.concat(F.lit(" caseId="), top_id.cast("string"), F.lit(",")), F.lit("")),
         F.format_string(" score=%.2f", top_score),
         F.coalesce(F.when(confidence.isNotNull(), F.format_string(", confidence=%.2f", confidence)), F.lit("")),
         F.lit("."),
-        F.when(F.size(F.map_keys(features)) > 0, F.concat(F.lit("\nFeature breakdown: "), shown, F.lit("."))).otherwise(""),
+        F.when(F.size(F.map_keys(features)) > 0, F.concat(F.lit(FEATURES), shown, F.lit("."))).otherwise(""),
     )
     return F.when(count == 0, head).otherwise(F.concat(head, best))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,3 +78,27 @@ def max_sim(query: Column | str, document: Column | str) -> Column:
 def argmax(scores: Column | str) -> Column:
     """The place (from 0) of the first maximum."""
     return F.array_position(_col(scores), F.array_max(_col(scores))).cast("int") - 1
+
+
+def to_bytes(v: Column | str) -> Column:
+    """A vector as bytes: its length as a little-endian 32-bit integer, then 32-bit floats."""
+    @F.pandas_udf("binary")
+    def pack(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: None if r is None else np.array([len(r)], "<i4").tobytes() + np.asarray(r, "<f4").tobytes())
+
+    return pack(_col(v).cast("array<float>"))
+
+
+def from_bytes(data: Column | str) -> Column:
+    """The vector of ``to_bytes``; raises for bytes of another length."""
+    @F.pandas_udf("array<float>")
+    def unpack(rows: pd.Series) -> pd.Series:
+        def one(b):
+            n = int(np.frombuffer(b, "<i4", 1)[0])
+            if len(b) != 4 + 4 * n:
+                raise ValueError(f"{len(b)} bytes for {n} numbers")
+            return np.frombuffer(b, "<f4", n, 4)
+
+        return rows.map(lambda b: None if b is None else one(b))
+
+    return unpack(_col(data))

@@ -148,6 +148,40 @@ def step_consensus(steps: DataFrame, step: str = "step") -> DataFrame:
     return out
 
 
+def agreement(consensus: DataFrame, histogram: str = "workers", unanimous: float = 1.0, majority: float = 0.5) -> DataFrame:
+    """With ``share`` (of the most frequent value of a histogram) and ``agreement``: UNANIMOUS, MAJORITY, SPLIT, or NONE
+    without values."""
+    values = F.map_values(F.coalesce(histogram, F.create_map().cast("map<string,bigint>")))
+    total = F.aggregate(values, F.lit(0).cast("long"), lambda s, v: s + v)
+    share = F.when(total > 0, F.array_max(values) / total)
+    kind = F.when(F.col("share").isNull(), "NONE").when(F.col("share") >= unanimous, "UNANIMOUS").when(F.col("share") > majority, "MAJORITY").otherwise("SPLIT")
+    return consensus.withColumn("share", share).withColumn("agreement", kind)
+
+
+def checked_scores(df: DataFrame, score: str = "score") -> DataFrame:
+    """The rows; reading fails at a score outside -1 ... 1."""
+    ok = F.assert_true(F.coalesce(F.col(score).between(-1, 1), F.lit(False)), F.concat(F.lit("score out of bounds: "), F.coalesce(F.col(score).cast("string"), F.lit("null"))))
+    return df.where(ok.isNull())
+
+
+def to_points(df: DataFrame, features: Sequence[str], vector: str = "embedding", key: str = "case_id") -> DataFrame:
+    """Cases as stored points: id (a hash of tenant, type and case), vector (one zero without an embedding), payload (a
+    struct of the other columns with features as f_<name>) and features as JSON."""
+    rest = [c for c in df.columns if c not in (*features, vector)]
+    identity = F.md5(F.concat_ws("#", "tenant_id", "case_type", F.col(key).cast("string")))
+    payload = F.struct(*rest, *[F.col(f).alias(f"f_{f}") for f in features])
+    v = F.col(vector).cast("array<double>") if vector in df.columns else F.lit(None).cast("array<double>")
+    return df.select(identity.alias("id"), F.coalesce(v, F.array(F.lit(0.0))).alias("vector"), payload.alias("payload"), F.to_json(F.struct(*features)).alias("features"))
+
+
+def from_points(points: DataFrame, features: Sequence[str], vector: str = "embedding") -> DataFrame:
+    """Cases from stored points; a vector of one zero stands for none."""
+    kinds = points.schema["payload"].dataType
+    rest = [f.name for f in kinds.fields if f.name not in {f"f_{x}" for x in features}]
+    none = (F.size("vector") == 1) & (F.col("vector")[0] == 0)
+    return points.select(*[F.col("payload")[c].alias(c) for c in rest], *[F.col("payload")[f"f_{f}"].alias(f) for f in features], F.when(~none, F.col("vector")).alias(vector))
+
+
 def suggestions(scored: DataFrame, feature: str, success: Column) -> DataFrame:
     """One row over retrieved cases: nearest-rank statistics of a feature, share of successes, number, mean score."""
     return scored.agg(F.min(feature).alias("low"), F.max(feature).alias("high"), F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {feature})").alias("median"), F.expr(f"percentile_disc(0.75) WITHIN GROUP (ORDER BY {feature})").alias("p75"), F.avg(success.cast("double")).alias("success_rate"), F.count(F.lit(1)).alias("cases"), F.avg("score").alias("mean_score"))

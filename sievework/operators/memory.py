@@ -157,6 +157,12 @@ def record(events: DataFrame, domain: str, entity: Column | str, text: Column |
     )
 
 
+def mood_faults(*axes: Column | str) -> Column:
+    """array<int>: the places of axes that lie outside -1 ... 1 or are missing."""
+    col = lambda x: F.col(x) if isinstance(x, str) else x
+    return F.array_compact(F.array(*[F.when(~F.coalesce(col(a).between(-1, 1), F.lit(False)), F.lit(i)) for i, a in enumerate(axes)]))
+
+
 def reflection_importance(importance: Column, level: Column) -> Column:
     """min(0.3 + 0.2 * level, 1) where none is given."""
     return F.coalesce(importance, F.least(F.lit(0.3) + 0.2 * level, F.lit(1.0)))
@@ -204,6 +210,11 @@ def erase(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
     return df.where(~condition), df.where(condition).agg(F.count(F.lit(1)).alias("erased"))
 
 
+def erasure_event(counts: DataFrame, entity: str, domain: str | None = None) -> DataFrame:
+    """One event (entity_id, domain, erased) if something was erased, else none."""
+    return counts.where("erased > 0").select(F.lit(entity).alias("entity_id"), F.lit(domain).cast("string").alias("domain"), "erased")
+
+
 def erase_everywhere(df: DataFrame, entity: str, admin: bool) -> tuple[DataFrame, DataFrame]:
     """An entity's rows of all tenants; for administrators."""
     if not admin:

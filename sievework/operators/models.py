@@ -90,3 +90,15 @@ def cached(df: DataFrame, cache: DataFrame, model: Callable[[Column | str], Colu
 def two_texts(df: DataFrame, dense_text: str, other_text: str, dense: Callable, sparse: Callable) -> DataFrame:
     """Dense vectors of one text, sparse ones of another."""
     return df.withColumns({"dense": dense(dense_text), "sparse": sparse(other_text)})
+
+
+def outputs(**named: Column | str) -> Column:
+    """struct: named outputs of a model, each a matrix (array of rows); a single vector becomes a matrix of one row."""
+    col = lambda x: F.col(x) if isinstance(x, str) else x
+    return F.struct(*[col(c).cast("array<array<float>>").alias(n) for n, c in named.items()])
+
+
+def single_row(matrix: Column | str) -> Column:
+    """The vector of a matrix of one row; any other number of rows fails."""
+    m = F.col(matrix) if isinstance(matrix, str) else matrix
+    return F.when(F.size(m) == 1, m[0]).otherwise(F.raise_error(F.concat(F.lit("rows: "), F.size(m).cast("string"))).cast("array<float>"))

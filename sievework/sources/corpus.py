@@ -95,9 +95,12 @@ def exists(corpus: DataFrame, path: str) -> bool:
 
 def migrate(spark: SparkSession, root: str, target: str) -> int:
     """Copy a directory tree into a corpus table; returns the number of files."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
     rows = appended(spark.createDataFrame([], ENTRY), scan_directory(spark, root).select("path", "ts", "content"))
-    rows.write.mode("append").parquet(target)
-    return rows.count()
+    rows.observe(seen, F.count(F.lit(1)).alias("files")).write.mode("append").parquet(target)  # counted as they are written
+    return seen.get["files"]
 
 
 def changes(before: DataFrame, after: DataFrame, state: str = "version", key: str = "path") -> DataFrame:
@@ -130,21 +133,37 @@ def compacted(corpus: DataFrame, mode: str = "FULL", closed: Column | None = Non
 # Archives and their chain: a small table (archive, sequence, status, predecessor, entries, hash, replaced_by)
 
 
+def entry_hash(path: Column | str = "path", version: Column | str = "version", content: Column | str = "content") -> Column:
+    """60 bits of the SHA-256 of an entry's path, version and content hash, as a number."""
+    c = [F.col(x) if isinstance(x, str) else x for x in (path, version, content)]
+    line = F.concat_ws(" ", c[0], c[1].cast("string"), F.sha2(F.coalesce(c[2], F.lit(b"")), 256))
+    return F.conv(F.substring(F.sha2(line, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+
+
 def archive_facts(corpus: DataFrame) -> DataFrame:
-    """Per archive: entries and a hash of their hashes in order of path and version."""
-    line = F.concat_ws(" ", "path", F.col("version").cast("string"), F.sha2(F.coalesce("content", F.lit(b"")), 256))
-    return corpus.groupBy("archive").agg(F.count(F.lit(1)).alias("entries"), F.hex(F.bit_xor(F.xxhash64(line))).alias("hash"))
+    """Per archive: entries and the sum of their hashes, which no order changes and equal entries do not cancel."""
+    return corpus.groupBy("archive").agg(F.count(F.lit(1)).alias("entries"), F.sum(entry_hash()).cast("string").alias("hash"))
 
 
-def integrity(manifest: DataFrame, facts: DataFrame, full: bool = False) -> DataFrame:
-    """(archive, problem, severity): archives missing or orphaned, counts that differ and, in full mode, hashes."""
+def integrity(manifest: DataFrame | None, facts: DataFrame, full: bool = False, meta: DataFrame | None = None) -> DataFrame:
+    """(archive, problem, severity): no manifest; archives missing or orphaned, counts that differ; in full mode hashes;
+    and with ``meta`` (archive, readable, entries, hash of each archive's inner record) archives that cannot be read
+    and records that are missing or differ."""
+    if manifest is None:
+        return facts.sparkSession.createDataFrame([(None, "MANIFEST_MISSING", "ERROR")], "archive string, problem string, severity string")
     m = manifest.select("archive", F.col("entries").alias("_e"), F.col("hash").alias("_h"), F.lit(True).alias("_m"))
     both = m.join(facts.withColumn("_f", F.lit(True)), "archive", "full_outer")
-    problem = F.when(F.col("_f").isNull(), "ARCHIVE_MISSING").when(F.col("_m").isNull(), "ARCHIVE_ORPHANED").when(F.col("_e") != F.col("entries"), "ENTRY_COUNT_MISMATCH")
+    unreadable, record = F.lit(False), F.lit(None).cast("string")
+    if meta is not None:
+        inner = meta.select("archive", "readable", F.col("entries").alias("_ie"), F.col("hash").alias("_ih"), F.lit(True).alias("_i"))
+        both = both.join(inner, "archive", "full_outer")
+        unreadable = F.col("_i") & ~F.col("readable")
+        record = F.when(F.col("_ie").isNull(), "RECORD_MISSING").when((F.col("_ie") != F.col("entries")) | ~F.col("_ih").eqNullSafe(F.col("hash")), "RECORD_DIFFERS")
+    problem = F.when(unreadable, "ARCHIVE_UNREADABLE").when(F.col("_f").isNull(), "ARCHIVE_MISSING").when(F.col("_m").isNull(), "ARCHIVE_ORPHANED").when(F.col("_e") != F.col("entries"), "ENTRY_COUNT_MISMATCH")
     if full:
         problem = problem.when(~F.col("_h").eqNullSafe(F.col("hash")), "HASH_MISMATCH")
-    severity = F.when(F.col("problem") == "ARCHIVE_ORPHANED", "WARNING").otherwise("ERROR")
-    return both.select("archive", problem.alias("problem")).where("problem is not null").withColumn("severity", severity)
+    severity = F.when(F.col("problem").isin("ARCHIVE_ORPHANED", "RECORD_MISSING"), "WARNING").otherwise("ERROR")
+    return both.select("archive", F.coalesce(problem, record).alias("problem")).where("problem is not null").withColumn("severity", severity)
 
 
 def status(problems: DataFrame) -> DataFrame:
@@ -159,6 +178,22 @@ def recovered_manifest(facts: DataFrame) -> DataFrame:
     return facts.select("archive", (F.row_number().over(w) - 1).cast("int").alias("sequence"), F.lit("CLOSED").alias("status"), F.lag("archive").over(w).alias("predecessor"), "entries", "hash", F.lit(None).cast("string").alias("replaced_by"))
 
 
+def opened(manifest: DataFrame, archive: str) -> DataFrame:
+    """The chain with a new active archive after its last one; raises (when read) if one is active already."""
+    last = manifest.agg(F.max_by("archive", "sequence").alias("p"), F.max("sequence").alias("s"), F.count_if(F.col("status") == "ACTIVE").alias("n"))  # one row
+    none = F.assert_true(F.col("n") == 0, F.lit("an archive is active"))
+    row = last.where(none.isNull()).select(F.lit(archive).alias("archive"), (F.coalesce("s", F.lit(-1)) + 1).cast("int").alias("sequence"), F.lit("ACTIVE").alias("status"), F.col("p").alias("predecessor"), F.lit(0).cast("long").alias("entries"), F.lit(None).cast("string").alias("hash"), F.lit(None).cast("string").alias("replaced_by"))
+    return manifest.select(*row.columns).unionByName(row)
+
+
+def closed(manifest: DataFrame, facts: DataFrame) -> DataFrame:
+    """The chain with its active archive closed over what the archive holds."""
+    have = facts.select("archive", F.col("entries").alias("_e"), F.col("hash").alias("_h"))
+    active = F.col("status") == "ACTIVE"
+    out = manifest.join(have, "archive", "left")
+    return out.withColumns({"entries": F.when(active, F.coalesce("_e", F.lit(0))).otherwise(F.col("entries")), "hash": F.when(active, F.col("_h")).otherwise(F.col("hash")), "status": F.when(active, "CLOSED").otherwise(F.col("status"))}).select(*manifest.columns)
+
+
 def retire(manifest: DataFrame, archive: str, replaced_by: str) -> DataFrame:
     """The chain after an archive has been replaced: its successor follows the replacement."""
     hit = F.col("archive") == archive
@@ -254,6 +289,23 @@ def without_documents(stored: DataFrame, documents: Sequence[str], key: str = "s
     return stored.where(~F.col(key).isin(*documents))
 
 
+def documents_of(stored: DataFrame, key: str = "source_document_id") -> DataFrame:
+    """The distinct documents that a collection holds chunks of."""
+    return stored.select(key).distinct()
+
+
+def parsed(df: DataFrame, content: str = "content", kind: str = "html", metadata: str | None = None) -> DataFrame:
+    """With ``text`` and ``metadata``: what the content's front matter says, under what the caller says."""
+    from sievework.functions.text import front_matter
+
+    f = front_matter(F.col(content).cast("string") if kind != "html" else plain_text(content))
+    own = f["metadata"]
+    if metadata is not None:
+        given = F.coalesce(F.col(metadata), F.create_map().cast("map<string,string>"))
+        own = F.map_concat(F.map_filter(own, lambda k, _: ~F.array_contains(F.map_keys(given), k)), given)
+    return df.withColumns({"text": f["body"], "metadata": own})
+
+
 def check_collection(df: DataFrame, vector_col: str, dimensions: int) -> DataFrame:
     """Rows of which every vector has the collection's dimensions; a scan fails at the first that has not."""
     ok = F.assert_true(F.size(vector_col) == dimensions, F.lit(f"{vector_col} must have {dimensions} dimensions"))

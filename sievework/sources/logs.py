@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -17,6 +18,15 @@ def log_rows(retrievals: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records, flat
 
 
+def tracked(found: DataFrame, track: Callable[[DataFrame], None], failed: Callable[[Exception], None] = lambda _: None) -> DataFrame:
+    """The retrieval's rows, after a tracker has seen them; a tracker that fails never fails the retrieval."""
+    try:
+        track(found)
+    except Exception as e:  # whatever a tracker does wrong stays its own
+        failed(e)
+    return found
+
+
 def feedback_in(feedback: DataFrame, records: DataFrame, since: Any, until: Any) -> DataFrame:
     """Feedback on known retrievals in the window."""
     return in_window(feedback, since, until).join(records.select("retrieval_id", "query_text"), "retrieval_id")

@@ -47,6 +47,55 @@ def ingest_changes(spark: SparkSession, root: str, snapshot: DataFrame | None) -
     return changes(before, now, "ts"), now
 
 
+def ingest_once(spark: SparkSession, root: str, state: str, size: int = 1000, overlap: int = 200, fail: Callable[[DataFrame], None] | None = None) -> dict[str, int]:
+    """One run of an ingest that sees deletions: changes of a directory since the last run that ended well are applied
+    to the chunks under ``state``, deletions first, and then the new snapshot becomes the cursor. A run that fails
+    leaves the cursor where it was. Returns how many files were added, modified and deleted.
+
+    state/chunks-N and state/snapshot-N belong together; the snapshot is written last. fail: called with the new
+    chunks before they count, for checks of the caller's.
+    """
+    last = last_run(spark, state)
+    before = spark.read.parquet(f"{state}/snapshot-{last}") if last else None
+    found, now = ingest_changes(spark, root, before)
+    gone = found.where("change <> 'ADDED'").select(F.col("path").alias("source_document_id"))
+    fresh = scan_directory(spark, root).join(found.where("change <> 'DELETED'"), "path").select(F.col("path").alias("source_document_id"), F.col("content").cast("string").alias("text"))
+    new = chunks(fresh, "text", size, overlap).drop("text")
+    if last:
+        new = spark.read.schema(new.schema).parquet(f"{state}/chunks-{last}").join(gone, "source_document_id", "left_anti").unionByName(new)
+    new.write.mode("overwrite").parquet(f"{state}/chunks-{last + 1}")
+    if fail is not None:
+        fail(spark.read.schema(new.schema).parquet(f"{state}/chunks-{last + 1}"))
+    counts = {r["change"]: r["count"] for r in found.groupBy("change").count().collect()}  # three rows at most
+    now.write.mode("overwrite").parquet(f"{state}/snapshot-{last + 1}")
+    return {k: counts.get(k, 0) for k in ("ADDED", "MODIFIED", "DELETED")}
+
+
+def last_run(spark: SparkSession, state: str) -> int:
+    """The number of the last run whose snapshot is whole; 0 before the first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(state)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return 0
+    names = [f.getPath().getName() for f in store.listStatus(path)]
+    done = [int(n.removeprefix("snapshot-")) for n in names if n.startswith("snapshot-") and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{state}/{n}/_SUCCESS"))]
+    return max(done, default=0)
+
+
+def ingested(spark: SparkSession, state: str) -> DataFrame:
+    """The chunks after the last run that ended well."""
+    return spark.read.parquet(f"{state}/chunks-{last_run(spark, state)}")
+
+
+def debounced(events: DataFrame, gap: str = "2 seconds") -> DataFrame:
+    """(path, change, ts) from file events (path, change, ts): events of one path with less than ``gap`` between them
+    count as the last of them; paths with a hidden part are left out. A change OVERFLOW (its path is null) stays and
+    asks for a scan of everything. Works on tables and, behind a watermark, on streams."""
+    seen = events.where(F.col("path").isNull() | ~F.regexp_like(F.coalesce("path", F.lit("")), F.lit(r"(^|/)\.")))
+    bursts = seen.groupBy("path", F.session_window("ts", gap).alias("_w")).agg(F.max_by("change", "ts").alias("change"), F.max("ts").alias("ts"))
+    return bursts.select("path", "change", "ts")
+
+
 class OutcomeState(StatefulProcessor):
     """Confidence of a case: moved by each outcome later than the last one; earlier ones are dropped."""
 

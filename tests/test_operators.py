@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.functions import schema as S
+from sievework.functions import schema as S, vectors
 from sievework.operators import analytics, cases as C, evaluation as E, filters as P, fusion, lexical, memory as M, models, retrieval as R, vector_search as V
 from sievework.plans.components import connected_components
 from sievework.sources import logs
@@ -318,3 +318,39 @@ def test_adaptation_and_lookup(spark):
     assert [s["action"] for s in other] == ["RETAINED", "BOOSTED"]
     got = E.encoded(spark.createDataFrame([("x",), ("y",)], "m string"), "m", {"x": [1, 0]}, [0.5, 0.5])
     assert [r["features"] for r in got.orderBy("m").collect()] == [[1.0, 0.0], [0.5, 0.5]]
+
+
+def test_points_and_bounds(spark):
+    df = spark.createDataFrame([("t", "g", "c1", 1.5, "z", [1.0, 2.0]), ("t", "g", "c2", None, "y", None)], "tenant_id string, case_type string, case_id string, ratio double, race string, embedding array<double>")
+    points = C.to_points(df, ["ratio", "race"])
+    rows = {r["payload"]["case_id"]: r for r in points.collect()}
+    assert rows["c2"]["vector"] == [0.0] and rows["c1"]["payload"]["f_ratio"] == 1.5 and rows["c1"]["features"] == '{"ratio":1.5,"race":"z"}' and rows["c2"]["features"] == '{"race":"y"}'
+    assert len({r["id"] for r in rows.values()}) == 2
+    back = C.from_points(points, ["ratio", "race"]).select(*df.columns)
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    assert C.checked_scores(spark.createDataFrame([(0.5,), (-1.0,)], "score double")).count() == 2
+    with pytest.raises(Exception, match="out of bounds"):
+        C.checked_scores(spark.createDataFrame([(1.5,)], "score double")).collect()
+    mood = spark.createDataFrame([(0.5, -1.0, 1.0), (1.5, None, 0.0)], "p double, a double, d double")
+    assert [r["f"] for r in mood.select(M.mood_faults("p", "a", "d").alias("f")).collect()] == [[], [0, 1]]
+
+
+def test_vector_bytes(spark):
+    df = spark.createDataFrame([([1.0, -2.5],), ([],), (None,)], "v array<float>")
+    data = df.select("v", vectors.to_bytes("v").alias("b"))
+    assert [None if r["b"] is None else bytes(r["b"]) for r in data.collect()] == [b"\x02\0\0\0\0\0\x80\x3f\0\0\x20\xc0", b"\0\0\0\0", None]
+    assert [r["w"] for r in data.select(vectors.from_bytes("b").alias("w")).collect()] == [[1.0, -2.5], [], None]
+    out = df.limit(1).select(models.outputs(vector=F.array("v")).alias("o")).select(models.single_row("o.vector").alias("r"), F.size("o.vector").alias("n")).first()
+    assert (out["r"], out["n"]) == ([1.0, -2.5], 1)
+
+
+def test_agreement(spark):
+    steps = spark.createDataFrame([("c1", "a", "w1", "ok", 1), ("c2", "a", "w1", "ok", 1), ("c1", "b", "w1", "ok", 1), ("c2", "b", "w2", "ok", 1), ("c3", "b", "w1", "no", 1), ("c1", "d", "w1", "ok", 1), ("c2", "d", "w2", "ok", 1), ("c1", "e", None, "ok", 1)], "case_id string, step string, worker string, outcome string, priority int")
+    got = {r["step"]: (r["agreement"], r["share"]) for r in C.agreement(C.step_consensus(steps)).collect()}
+    assert got == {"a": ("UNANIMOUS", 1.0), "b": ("MAJORITY", pytest.approx(2 / 3)), "d": ("SPLIT", 0.5), "e": ("NONE", None)}
+
+
+def test_bands_reach_the_recall():
+    for t in (0.1, 0.37, 0.6, 0.9):
+        n, r = analytics.bands(t)
+        assert n * r == 128 and (1 - (1 - t**r) ** n >= 0.999 or (n, r) == (128, 1))

@@ -1,11 +1,12 @@
 """Corpora, chunks, logs and streams."""
 
+import os
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.sources import corpus, logs
+from sievework.sources import archives, corpus, logs
 from sievework.streaming import jobs
 
 ROW = "path string, version int, ts timestamp, content binary, tombstone boolean, archive string"
@@ -148,3 +149,96 @@ def test_binding(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.writestr("1/doc.md", "one")
     assert [r["path"] for r in Binding("t", "c", str(tmp_path), Storage.ZIP).documents(spark).collect()] == ["doc.md"]
+
+
+def entries(spark):
+    rows = [(f"d/{i}.txt", 1, f"text {i} ".encode() * 200, False) for i in range(40)] + [("d/3.txt", 2, b"new", False), ("d/4.txt", 2, None, True)]
+    return spark.createDataFrame([(p, v, None, c, t, None) for p, v, c, t in rows], ROW).repartition(2)
+
+
+def test_archives_roll_over_and_hold_their_record(spark, tmp_path):
+    root = f"file://{tmp_path}/zips"
+    facts = archives.write_archives(entries(spark), root, most=600)
+    assert facts.count() > 2
+    back = corpus.scan_archives(spark, root)
+    want = {(r["path"], r["version"], bytes(r["content"]) if r["content"] is not None else None, r["tombstone"]) for r in entries(spark).collect()}
+    assert {(r["path"], r["version"], bytes(r["content"]) if r["content"] is not None else None, r["tombstone"]) for r in back.collect()} == want
+    seen = corpus.archive_facts(back)
+    assert sorted(map(tuple, seen.collect())) == sorted(map(tuple, facts.collect()))
+    manifest, meta = corpus.recovered_manifest(facts), archives.records(spark, root)
+    assert corpus.integrity(manifest, seen, True, meta).count() == 0
+    names = sorted(r["archive"] for r in facts.collect())
+    with zipfile.ZipFile(f"{tmp_path}/zips/{names[1]}", "a") as z:
+        z.writestr("9/late.txt", "x")  # an entry that neither the manifest nor the record knows
+    with zipfile.ZipFile(f"{tmp_path}/zips/plain.zip", "w") as z:
+        z.writestr("1/a.txt", "x")
+    (tmp_path / "zips" / "broken.zip").write_bytes(b"no archive")
+    good = corpus.scan_archives(spark, root, "[cp]*.zip")
+    problems = corpus.integrity(manifest, corpus.archive_facts(good), True, archives.records(spark, root))
+    assert {(r["archive"], r["problem"]) for r in problems.collect()} == {(names[1], "ENTRY_COUNT_MISMATCH"), ("plain.zip", "ARCHIVE_ORPHANED"), ("broken.zip", "ARCHIVE_UNREADABLE")}
+    assert corpus.status(problems).first()["status"] == "CORRUPT"
+    listed = manifest.unionByName(corpus.archive_facts(good).where("archive = 'plain.zip'").selectExpr("archive", "99 sequence", "'CLOSED' status", "cast(null as string) predecessor", "entries", "hash", "cast(null as string) replaced_by"))
+    assert [tuple(r) for r in corpus.integrity(listed, corpus.archive_facts(good), False, archives.records(spark, root)).where("archive = 'plain.zip'").collect()] == [("plain.zip", "RECORD_MISSING", "WARNING")]
+    assert [r["problem"] for r in corpus.integrity(None, seen).collect()] == ["MANIFEST_MISSING"]
+
+
+def test_equal_entries_do_not_cancel(spark):
+    one, two = (corpus.archive_facts(table(spark, [("a", 1, b"x", False, "z")] * n)).first()["hash"] for n in (1, 3))
+    assert one != two and one != corpus.archive_facts(table(spark, [("b", 1, b"x", False, "z")])).first()["hash"]
+
+
+def test_chain(spark):
+    facts = spark.createDataFrame([("a", 3, "1"), ("b", 2, "2"), ("c", 5, "3")], archives.FACTS)
+    chain = corpus.opened(corpus.recovered_manifest(facts.where("archive < 'c'")), "c")
+    assert [(r["archive"], r["sequence"], r["status"], r["predecessor"]) for r in chain.orderBy("sequence").collect()] == [("a", 0, "CLOSED", None), ("b", 1, "CLOSED", "a"), ("c", 2, "ACTIVE", "b")]
+    with pytest.raises(Exception, match="active"):
+        corpus.opened(chain, "d").collect()
+    last = corpus.closed(chain, facts).where("archive = 'c'").first()
+    assert (last["status"], last["entries"], last["hash"]) == ("CLOSED", 5, "3")
+
+
+def test_ingest_applies_deletions_and_moves_its_cursor_on_success_only(spark, tmp_path):
+    root, state = tmp_path / "docs", f"file://{tmp_path}/state"
+    root.mkdir()
+    for name in ("a", "b", "c"):
+        (root / f"{name}.txt").write_text(f"text of {name}")
+    held = lambda: {r["source_document_id"]: r["content"] for r in jobs.ingested(spark, state).collect()}
+    assert jobs.ingest_once(spark, str(root), state) == {"ADDED": 3, "MODIFIED": 0, "DELETED": 0}
+    (root / "b.txt").unlink()
+    (root / "c.txt").write_text("other text of c")
+    os.utime(root / "c.txt", (2_000_000_000, 2_000_000_000))
+    (root / "d.txt").write_text("text of d")
+
+    def refuse(_):
+        raise RuntimeError("not now")
+
+    with pytest.raises(RuntimeError, match="not now"):
+        jobs.ingest_once(spark, str(root), state, fail=refuse)
+    assert jobs.last_run(spark, state) == 1 and held() == {"a.txt": "text of a", "b.txt": "text of b", "c.txt": "text of c"}
+    assert jobs.ingest_once(spark, str(root), state) == {"ADDED": 1, "MODIFIED": 1, "DELETED": 1}
+    assert held() == {"a.txt": "text of a", "c.txt": "other text of c", "d.txt": "text of d"}
+    assert jobs.ingest_once(spark, str(root), state) == {"ADDED": 0, "MODIFIED": 0, "DELETED": 0}
+
+
+def test_debounced(spark):
+    rows = [("a", "CREATED", "2024-01-01 00:00:00"), ("a", "MODIFIED", "2024-01-01 00:00:01"), ("a", "DELETED", "2024-01-01 00:00:09"), (".git/x", "MODIFIED", "2024-01-01 00:00:00"), ("s/.t/x", "MODIFIED", "2024-01-01 00:00:00"), (None, "OVERFLOW", "2024-01-01 00:00:03")]
+    df = spark.createDataFrame(rows, "path string, change string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = sorted((str(r["path"]), r["change"], r["ts"].second) for r in jobs.debounced(df).collect())
+    assert got == [("None", "OVERFLOW", 3), ("a", "DELETED", 9), ("a", "MODIFIED", 1)]
+
+
+def test_parsed(spark):
+    df = spark.createDataFrame([("---\ntitle: 'own'\nlang: en\n---\nbody", {"title": "given"}), ("plain", None)], "content string, meta map<string,string>")
+    got = corpus.parsed(df, kind="text", metadata="meta").collect()
+    assert [(r["text"], r["metadata"]) for r in got] == [("body", {"title": "given", "lang": "en"}), ("plain", {})]
+    assert {r["k"] for r in corpus.documents_of(spark.createDataFrame([("a",), ("a",), ("b",)], "k string"), "k").collect()} == {"a", "b"}
+
+
+def test_tracker_failures_stay_apart(spark):
+    seen = []
+
+    def bad(_):
+        raise RuntimeError("tracker")
+
+    df = spark.range(3)
+    assert logs.tracked(df, bad, seen.append).count() == 3 and str(seen[0]) == "tracker"
