@@ -613,11 +613,6 @@ def front_matter(spark, d):
     return m.select("id", F.col("m.metadata")["lang"].alias("language"), F.md5("m.body").alias("body"))
 
 
-@query()
-def page_text(spark, d):
-    return X.table(spark, d, "pages").select("page_id", corpus.plain_text("html").alias("text"))
-
-
 # Evaluation
 
 
