@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame
 from sievework.llm import textkernels as K
 from sievework.llm.common import MEMOS, by_slices, texts
 
-#: Most pre-tokens, and longest pre-token in bytes, that a worker remembers.
-MEMO, MEMO_BYTES = 300_000, 48
+#: Most pre-tokens of one generation of the memo (two are kept), and longest one in characters, that a worker remembers.
+MEMO, MEMO_CHARS = 300_000, 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -108,6 +109,7 @@ class Codec:
     ranks: dict[bytes, int]
     pattern: str
     memo: dict[str, bytes] = field(default_factory=dict)
+    older: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self):
         import regex
@@ -131,23 +133,20 @@ class Codec:
         slots = self.hash.find(hash_keys(raw)).tolist()
         for piece, key, slot in zip(pieces, raw, slots, strict=True):
             ids = [self.id[slot]] if self.token[slot] == key else merge(key, self.ranks)
-            self.memo[piece] = np.array(ids, "<i4").tobytes()
+            self.memo[piece] = array("i", ids).tobytes()
 
     def encode(self, rows: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         pieces = [self.find(t) for t in rows]
-        wanted = set().union(*pieces)
-        if len(self.memo) + len(wanted) > 2 * MEMO:
-            self.memo = {}
-        new = [p for p in wanted if p not in self.memo]
-        if new:
-            self.resolve(new)
+        new = set().union(*pieces).difference(self.memo)
+        kept = new.intersection(self.older)
+        self.memo.update((p, self.older[p]) for p in kept)
+        self.resolve(list(new - kept))
         out = [b"".join(map(self.memo.__getitem__, p)) for p in pieces]
-        for piece in new:
-            if len(piece) > MEMO_BYTES:
-                del self.memo[piece]
+        for piece in [p for p in new if len(p) > MEMO_CHARS]:
+            del self.memo[piece]
         if len(self.memo) > MEMO:
-            self.memo = {}
+            self.older, self.memo = self.memo, {}
         return out
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +174,8 @@ def codec(path: str, pattern: str) -> Codec:
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """Per document: doc_id, ids array<int>; with ``decoded`` also the bytes that the ids decode to.
 
-    A null or empty text has no ids. Repeated rows are encoded one by one; other columns are ignored.
+    A null or empty text has no ids; a very long one is encoded whole. Repeated rows are encoded one by one, those
+    with a null id, too; other columns are ignored; an empty table gives an empty result.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -194,7 +194,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Per row of ids: doc_id, decoded binary. A null list decodes to no bytes."""
+    """Per row of ids: doc_id, decoded binary. A null or empty list decodes to no bytes; an empty table gives an empty
+    result."""
 
     def run(batches):
         c = codec(path, pattern)
