@@ -80,8 +80,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Words of a text, in DuckDB SQL.
+WORDS_SQL = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_jaccard_join": f"""
+            WITH RECURSIVE split AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+            sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END)) AS s FROM split WHERE len(w) > 0),
+            kinds AS (SELECT s, min(doc_id) AS rep, count(*) AS copies FROM sets GROUP BY s),
+            members AS (SELECT doc_id, rep FROM sets JOIN kinds ON kinds.s = sets.s),
+            items AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM kinds),
+            meet AS (SELECT a.rep AS a, b.rep AS b, a.n + b.n - count(*) AS joint, count(*) AS c FROM items a JOIN items b ON a.x = b.x AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n),
+            pairs AS (SELECT a, b FROM meet WHERE 10 * c >= 8 * joint UNION SELECT b, a FROM meet WHERE 10 * c >= 8 * joint),
+            walk AS (SELECT rep AS a, rep AS b FROM kinds UNION SELECT walk.a, pairs.b FROM walk JOIN pairs ON pairs.a = walk.b),
+            class AS (SELECT a AS rep, min(b) AS class_id FROM walk GROUP BY 1),
+            linked AS (SELECT a AS rep, sum(copies) AS links FROM pairs JOIN kinds ON kinds.rep = pairs.b GROUP BY 1)
+            SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(m.rep, d.doc_id) AS rep_id, CAST(coalesce(links, 0) + coalesce(copies - 1, 0) AS BIGINT) AS n_links
+            FROM documents d LEFT JOIN members m ON m.doc_id = d.doc_id LEFT JOIN kinds k ON k.rep = m.rep LEFT JOIN class c ON c.rep = m.rep LEFT JOIN linked l ON l.rep = m.rep
+        """,
+        "op7_substring_dedup": f"""
+            WITH split AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+            windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM split)),
+            first AS (SELECT x, min(doc_id) AS least FROM windows GROUP BY 1),
+            flagged AS (SELECT doc_id, i FROM windows JOIN first ON first.x = windows.x WHERE least < doc_id),
+            gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM flagged),
+            words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM split),
+            kept AS (SELECT words.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY words.i) AS t FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.i = words.i WHERE gone.i IS NULL GROUP BY 1)
+            SELECT split.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+            FROM split LEFT JOIN kept ON kept.doc_id = split.doc_id
+        """,
         "op6_backoff_scores": """
             WITH split AS (
                 SELECT row_number() OVER () AS r, doc_id,
