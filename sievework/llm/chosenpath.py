@@ -371,7 +371,8 @@ def decide(source: DataFrame, size: int, threshold: float, recall: float, small:
         links = links.join(far, "node", "left").withColumn("part", F.coalesce("component", "label"))
     linked = materialise(links.select("node", "part", "links").join(classes.select("node", "first"), "node"), "linked")
     parts = linked.groupBy("part").agg(F.min("first").alias("leader"))
-    by_class = classes.select(*one, "node", "first", "copies").join(linked.select("node", "part", "links"), "node", "left").join(parts, "part", "left")
+    linked = linked.join(parts, "part").select("node", "leader", "links")  # before the many classes without links come in
+    by_class = classes.select(*one, "node", "first", "copies").join(linked, "node", "left")
     found = described.select("doc_id", "row_key", *one).join(by_class, one, "left")
     leader = F.coalesce("leader", "first")
     return found.select(
