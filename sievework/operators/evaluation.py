@@ -51,6 +51,30 @@ def ever_seen(df: DataFrame, key: str, second: str, visit: Column) -> DataFrame:
     return df.withColumn("visible", F.max(visit.cast("int")).over(w) == 1)
 
 
+#: Seconds of a scout's arrival, of its first and later stays and between them; the share that it sees at
+#: first, and what each return adds. Each is a range, the upper end left out.
+ARRIVAL, FIRST_STAY, STAY, PAUSE = (90, 150), (15, 30), (10, 25), (40, 80)
+SEEN_FIRST, SEEN_MORE = (0.3, 0.5), (0.1, 0.2)
+
+
+def scouting_visibility(key: Column | str, second: Column | str, seed: int = 0, visits: int = 64) -> Column:
+    """How much of the other side is known at a second, 0 to 1: nothing before a scout's arrival, a part from then on,
+    more with each of its returns (``visits`` at most). Drawn by seeded hashes of the key; it never falls."""
+    k, t = (F.col(c) if isinstance(c, str) else c for c in (key, second))
+    share = lambda i: F.pmod(F.xxhash64(k, F.lit(seed), i), F.lit(1 << 30)) / float(1 << 30)
+    between = lambda r, i: F.floor(r[0] + share(i) * (r[1] - r[0])).cast("double")
+    scale = lambda r, i: r[0] + share(i) * (r[1] - r[0])
+    arrival = between(ARRIVAL, F.lit(0))
+    start = F.struct((arrival + between(FIRST_STAY, F.lit(1))).alias("at"), F.lit(0).alias("n"))
+
+    def visit(s: Column, i: Column) -> Column:
+        back = s["at"] + between(PAUSE, 2 * i + 4)
+        return F.struct((back + between(STAY, 2 * i + 5)).alias("at"), (s["n"] + (back <= t).cast("int")).alias("n"))
+
+    returns = F.aggregate(F.sequence(F.lit(0), F.lit(visits - 1)), start, visit)["n"]
+    return F.when(t < arrival, 0.0).otherwise(F.least(F.lit(1.0), scale(SEEN_FIRST, F.lit(2)) + scale(SEEN_MORE, F.lit(3)) * returns))
+
+
 def build_order(df: DataFrame, key: str, json_col: str, player: int) -> DataFrame:
     """(key, second, name): the player's building events of a JSON array, in order of time."""
     kind = "array<struct<player:int,second:double,name:string>>"

@@ -19,6 +19,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.sources.corpus import checked_path
+
 RECORD = "RECORD.json"
 MOST_BYTES = 100 << 20
 FACTS = "archive string, entries long, hash string"
@@ -89,6 +91,30 @@ def write_archives(rows: DataFrame, root: str, prefix: str = "corpus", most: int
     return rows.sparkSession.createDataFrame([tuple(r) for r in found], FACTS)
 
 
+def write_files(rows: DataFrame, root: str) -> int:
+    """Write the contents of (path, content, tombstone) rows below a root, each under a temporary name until it is whole,
+    and delete the files of tombstones; returns how many rows there were. A path that leaves the root fails."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, folder = pafs.FileSystem.from_uri(root)
+        for frame in frames:
+            for path, content, dead in frame.itertuples(index=False):
+                target = f"{folder}/{checked_path(path)}"
+                if dead:
+                    if store.get_file_info(target).type != pafs.FileType.NotFound:
+                        store.delete_file(target)
+                    continue
+                parent, _, name = target.rpartition("/")
+                store.create_dir(parent, recursive=True)
+                temporary = f"{parent}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(temporary) as out:
+                    out.write(b"" if content is None else bytes(content))
+                store.move(temporary, target)
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    return rows.select("path", "content", "tombstone").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def records(spark: SparkSession, root: str, pattern: str = "*.zip") -> DataFrame:
     """(archive, readable, entries, hash): what each archive's record says; nulls without one."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(root)

@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.sources import corpus
+from sievework.sources import archives, corpus
 
 
 class Storage(Enum):
@@ -41,6 +41,16 @@ class Binding:
         archives = self.root if self.storage is Storage.ZIP else self.archives
         return corpus.current(corpus.scan_archives(spark, archives)).select("path", "content")
 
+    def append(self, rows: DataFrame, prefix: str = "corpus") -> DataFrame | None:
+        """Write entries (path, version, content, tombstone): files of a flat corpus, archives of a ZIP corpus (their
+        facts are returned), and both of a composite one."""
+        facts = None
+        if self.storage is not Storage.FLAT:
+            facts = archives.write_archives(rows, self.root if self.storage is Storage.ZIP else self.archives, prefix)
+        if self.storage is not Storage.ZIP:
+            archives.write_files(rows, self.root)
+        return facts
+
     def chunks(self, spark: SparkSession, manual: bool = False) -> DataFrame | None:
         """The chunks to ingest, or None if the mode does not ask for them now."""
         if self.mode is Ingestion.NONE or self.mode is Ingestion.MANUAL and not manual:

@@ -354,3 +354,17 @@ def test_bands_reach_the_recall():
     for t in (0.1, 0.37, 0.6, 0.9):
         n, r = analytics.bands(t)
         assert n * r == 128 and (1 - (1 - t**r) ** n >= 0.999 or (n, r) == (128, 1))
+
+
+def test_scouting_visibility(spark):
+    seconds = spark.range(0, 600, 5).select(F.col("id").alias("s")).crossJoin(spark.range(20).select(F.col("id").alias("k")))
+    held = {}
+    for r in seconds.select("k", "s", E.scouting_visibility("k", "s", 7).alias("v")).orderBy("k", "s").collect():
+        held.setdefault(r["k"], []).append((r["s"], r["v"]))
+    assert len({tuple(v) for v in held.values()}) == 20  # keys differ
+    for values in held.values():
+        assert all(a[1] <= b[1] for a, b in zip(values, values[1:]))
+        assert all(v == 0 for s, v in values if s < 90) and all(0.3 <= v <= 1 for s, v in values if s >= 150)
+        assert values[-1][1] > dict(values)[150]
+    again = seconds.select("k", "s", E.scouting_visibility("k", "s", 7).alias("v"))
+    assert again.exceptAll(seconds.select("k", "s", E.scouting_visibility("k", "s", 7).alias("v"))).count() == 0

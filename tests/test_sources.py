@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.sources import archives, corpus, logs
+from sievework.sources import archives, binding, corpus, logs
 from sievework.streaming import jobs
 
 ROW = "path string, version int, ts timestamp, content binary, tombstone boolean, archive string"
@@ -242,3 +242,17 @@ def test_tracker_failures_stay_apart(spark):
 
     df = spark.range(3)
     assert logs.tracked(df, bad, seen.append).count() == 3 and str(seen[0]) == "tracker"
+
+
+def test_bindings_write_through(spark, tmp_path):
+    root, zips = f"file://{tmp_path}/flat", f"file://{tmp_path}/zips"
+    (tmp_path / "flat").mkdir()
+    both = binding.Binding("t", "c", root, binding.Storage.COMPOSITE, archives=zips)
+    rows = table(spark, [("a/b.txt", 1, b"one", False, None), ("c.txt", 1, b"two", False, None)])
+    assert both.append(rows, "first").agg(F.sum("entries")).first()[0] == 2
+    assert sorted((r["path"], bytes(r["content"])) for r in corpus.scan_directory(spark, root).collect()) == [("a/b.txt", b"one"), ("c.txt", b"two")]
+    both.append(table(spark, [("c.txt", 2, None, True, None), ("a/b.txt", 2, b"new", False, None)]), "second")
+    assert [(r["path"], bytes(r["content"])) for r in both.documents(spark).collect()] == [("a/b.txt", b"new")]
+    assert [(r["path"], bytes(r["content"])) for r in corpus.scan_directory(spark, root).collect()] == [("a/b.txt", b"new")]
+    with pytest.raises(Exception, match="not a corpus path"):
+        archives.write_files(table(spark, [("../x", 1, b"", False, None)]), root)
