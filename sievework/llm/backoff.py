@@ -159,8 +159,8 @@ def count_tables(asked: DataFrame, parts: int, order: int) -> DataFrame:
                 rows = table.slice(a, 64)
                 yield pa.record_batch([*(rows[c].combine_chunks() for c in COLUMNS[:3]), pa.array([squeeze(x) for x in totals[a : a + 64]], pa.binary())], COLUMNS)
 
-    n = max(parts, partitions(asked.sparkSession))
-    return asked.repartition(n, "part").sortWithinPartitions("part").mapInArrow(task(run), SCHEMA)
+    # One task for each partition of the tables: hashing the numbers would let some meet in one task.
+    return asked.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(task(run), SCHEMA)
 
 
 def block_texts(source: DataFrame) -> DataFrame:
