@@ -86,9 +86,15 @@ def equal_spans(data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarra
 
 def twins(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Neighbours of equal key, in order of the keys: of each run all but the last, and all but the first."""
-    order = np.argsort(keys, kind="stable")
-    same = np.flatnonzero(keys[order][1:] == keys[order][:-1])
-    return order[same], order[same + 1]
+    ordered = np.sort(keys)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        none = np.zeros(0, np.int64)
+        return none, none
+    at = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys)  # few, as a rule
+    at = at[np.argsort(keys[at], kind="stable")]
+    same = np.flatnonzero(keys[at][1:] == keys[at][:-1])
+    return at[same], at[same + 1]
 
 
 class Words:
@@ -192,19 +198,21 @@ def base_counts(array: pa.Array, words: Words | None = None) -> dict[str, np.nda
     }
 
 
-GRAM = _rng.integers(1, 2**63, 3, dtype=np.uint64) * U(2) + U(1)
+GRAM = _rng.integers(1, 2**31, 3, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 CHAR_BUCKETS, WORD_BUCKETS = 4096, 2048
 BUCKETS = CHAR_BUCKETS + 2 * WORD_BUCKETS
 
 
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A number for each character (its UTF-8 bytes) and the row of each."""
+    if not len(data) or data.max() < 128:
+        return data.astype(np.uint32), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     lead = np.flatnonzero((data & 0xC0) != 0x80)
-    points = data[lead].astype(np.uint64)
+    points = data[lead].astype(np.uint32)
     size = np.diff(np.append(lead, len(data)))
     for k in range(1, 4):
         more = np.flatnonzero(size > k)
-        points[more] |= data[lead[more] + k].astype(np.uint64) << U(8 * k)
+        points[more] |= data[lead[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return points, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(lead, offsets)))
 
 
@@ -219,7 +227,7 @@ def hashed_ngrams(array: pa.Array, words: Words | None = None) -> np.ndarray:
     if len(points) >= 3:
         gram = points[:-2] * GRAM[0] + points[1:-1] * GRAM[1] + points[2:] * GRAM[2]
         same = row[:-2] == row[2:]
-        at = row[:-2][same] * CHAR_BUCKETS + (gram[same] >> U(64 - CHAR_BUCKETS.bit_length() + 1)).astype(np.int64)
+        at = row[:-2][same] * CHAR_BUCKETS + (gram[same] >> np.uint32(33 - CHAR_BUCKETS.bit_length())).astype(np.int64)
         out[:, :CHAR_BUCKETS] = np.bincount(at, minlength=n * CHAR_BUCKETS).reshape(n, CHAR_BUCKETS)
     shift = U(53)
     for k, lo in ((1, CHAR_BUCKETS), (2, CHAR_BUCKETS + WORD_BUCKETS)):

@@ -41,7 +41,7 @@ def plain_ngrams(text):
     x = [0.0] * K.BUCKETS
     points = [int.from_bytes(c.encode(), "little") for c in text]
     for i in range(len(points) - 2):
-        x[sum(p * int(g) for p, g in zip(points[i : i + 3], K.GRAM, strict=True)) % M >> 52] += 1
+        x[sum(p * int(g) for p, g in zip(points[i : i + 3], K.GRAM, strict=True)) % 2**32 >> 20] += 1
     hashes = [plain_hash(w.encode()) for w in words(text)]
     for k, lo in ((1, K.CHAR_BUCKETS), (2, K.CHAR_BUCKETS + K.WORD_BUCKETS)):
         for h in plain_windows(hashes, k):
