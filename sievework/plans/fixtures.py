@@ -24,7 +24,16 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return _events(table(spark, sf_dir, "events"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files."""
+    schema = table(spark, sf_dir, "events").schema
+    return _events(spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet"))
+
+
+def _events(e: DataFrame) -> DataFrame:
     return e.withColumns({"ts": F.col("ts").cast("timestamp"), "k": F.get_json_object("props", "$.k").cast("int"), "s": F.least(F.col("value") / 500.0, F.lit(1.0))})
 
 
@@ -98,7 +107,10 @@ def order_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
+    return memory_of(events(spark, sf_dir))
+
+
+def memory_of(e: DataFrame) -> DataFrame:
     return e.select(
         F.col("event_id").alias("memory_id"), F.lit("t").alias("tenant_id"), F.col("user_id").cast("string").alias("entity_id"), F.col("event_type").alias("domain"), F.lit(None).cast("string").alias("case_id"),
         F.col("props").alias("text"), F.create_map(F.lit("k"), F.col("k").cast("string"), F.lit("pleasure"), (F.col("event_id") % 10 / 10).cast("string"), F.lit("arousal"), F.lit("0.5"), F.lit("dominance"), F.lit("0.0")).alias("attributes"),

@@ -11,6 +11,7 @@ from sievework.operators import analytics, cases as C, evaluation, filters as P,
 from sievework.plans import fixtures as X
 from sievework.plans.queries import ASKED, AS_OF, COS, EDGES_SQL, NOW, PAIRS_SQL, PARTS_SQL, SCHEMA, SERIES_SQL, WEIGHTS, docs, edges, log
 from sievework.plans.registry import query, r6
+from sievework.session import shared_path
 from sievework.sources import corpus, logs
 from sievework.streaming import jobs
 
@@ -517,3 +518,40 @@ def records_in_window(spark, d):
 def future_cases(spark, d):
     rows = X.cases(spark, d).where("stored_at >= timestamp'1998-01-01'")
     return rows.select("case_id", (decay.age_seconds("stored_at", AS_OF) < 0).alias("future"))
+
+
+# Streams: each runs to the end of the events and its table is read back
+
+
+RELATED_SQL = "SELECT event_id || '-rel' AS memory_id, CAST(user_id AS VARCHAR) AS entity_id, CAST(event_id % 50 AS VARCHAR) AS target FROM events WHERE event_id % 3 = 0 AND event_id % 50 <> user_id"
+
+
+@query(RELATED_SQL)
+def streamed_relationships(spark, d):
+    target = F.when(F.col("memory_id") % 3 == 0, (F.col("memory_id") % 50).cast("string"))
+    rows = X.memory_of(X.event_stream(spark, d)).withColumn("attributes", F.map_filter(F.create_map(F.lit("target"), target), lambda _, v: v.isNotNull())).withColumn("memory_id", F.col("memory_id").cast("string"))
+    path = shared_path(spark, "relationships")
+    jobs.derive_relationships(rows, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/rows").select("memory_id", "entity_id", F.col("attributes")["target"].alias("target"))
+
+
+@query("SELECT event_id, value > 400 OR event_type = 'error' AS quarantined FROM events")
+def streamed_quarantine(spark, d):
+    path = shared_path(spark, "valid")
+    ok = (F.col("value") <= 400) & (F.col("event_type") != "error")
+    jobs.append_valid(X.event_stream(spark, d), ok, f"{path}/rows", f"{path}/quarantine", f"{path}/checkpoint").awaitTermination()
+    good, bad = (spark.read.parquet(f"{path}/{part}").select("event_id") for part in ("rows", "quarantine"))
+    return good.withColumn("quarantined", F.lit(False)).unionByName(bad.withColumn("quarantined", F.lit(True)))
+
+
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE event_id IN (SELECT min(event_id) FROM events GROUP BY user_id, ts))
+    SELECT CAST(user_id AS VARCHAR) AS case_id, round(pow(0.8, max(n)) + sum(0.2 * pow(0.8, n - i) * least(value / 500.0, 1.0)), 9) AS confidence, count(*) AS applied FROM o GROUP BY user_id""")
+def streamed_outcomes(spark, d):
+    path = shared_path(spark, "outcomes")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    e = X.event_stream(spark, d).select(F.col("user_id").cast("string").alias("case_id"), F.col("s").alias("rate"), F.col("ts").alias("observed_at"), F.col("event_id").alias("seq"))
+    write = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/batch={n}")
+    jobs.outcome_confidence(e).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{path}/batch=*")
+    last = found.groupBy("case_id").agg(F.max_by(F.struct("confidence", "applied"), "batch").alias("r"))
+    return last.select("case_id", r6("r.confidence", "confidence"), F.col("r.applied").alias("applied"))

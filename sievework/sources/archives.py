@@ -12,14 +12,14 @@ import io
 import json
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.sources.corpus import checked_path
+from sievework.sources.corpus import checked_path, compacted, scan_archives
 
 RECORD = "RECORD.json"
 MOST_BYTES = 100 << 20
@@ -133,3 +133,12 @@ def records(spark: SparkSession, root: str, pattern: str = "*.zip") -> DataFrame
                 yield pd.DataFrame({"archive": [path.rsplit("/", 1)[-1]], "readable": [readable], "entries": pd.array([entries], "Int64"), "hash": [digest]})
 
     return files.select("path", "content").mapInPandas(run, "archive string, readable boolean, entries long, hash string")
+
+
+def compact(spark: SparkSession, root: str, target: str, mode: str = "FULL", closed: Sequence[str] | None = None, prefix: str = "compact", most: int = MOST_BYTES) -> DataFrame:
+    """Rewrite the archives below a root (those named in ``closed``, if given) without what ``corpus.compacted`` leaves
+    out, into new archives at ``target``, and return their facts. The old ones stay until a chain has ``retire``d them."""
+    rows = scan_archives(spark, root)
+    if closed is not None:
+        rows = rows.where(F.col("archive").isin(*closed))
+    return write_archives(compacted(rows, mode), target, prefix, most)

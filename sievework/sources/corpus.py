@@ -37,6 +37,12 @@ def scan_directory(spark: SparkSession, root: str, prefix: str = "") -> DataFram
     return out.where(~F.col("path").startswith("_") & ~F.regexp_like("path", F.lit(r"(^|/)\."))).where(F.col("path").startswith(prefix))
 
 
+def read_file(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """path, ts, size, content of one file below a root; only this file is listed and read."""
+    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{checked_path(path)}")
+    return files.select(F.lit(path).alias("path"), F.col("modificationTime").alias("ts"), F.col("length").alias("size"), "content")
+
+
 def scan_archives(spark: SparkSession, root: str, pattern: str = "*.zip") -> DataFrame:
     """Corpus entries of ZIP archives: members 'N/path' are versions; one archive a task, members one by one."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)

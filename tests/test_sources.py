@@ -256,3 +256,19 @@ def test_bindings_write_through(spark, tmp_path):
     assert [(r["path"], bytes(r["content"])) for r in corpus.scan_directory(spark, root).collect()] == [("a/b.txt", b"new")]
     with pytest.raises(Exception, match="not a corpus path"):
         archives.write_files(table(spark, [("../x", 1, b"", False, None)]), root)
+
+
+def test_one_file_and_compacted_archives(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.txt").write_text("one")
+    got = corpus.read_file(spark, f"file://{tmp_path}", "d/a.txt").first()
+    assert (got["path"], bytes(got["content"])) == ("d/a.txt", b"one")
+    with pytest.raises(ValueError):
+        corpus.read_file(spark, str(tmp_path), "../a.txt")
+    old, new = f"file://{tmp_path}/old", f"file://{tmp_path}/new"
+    names = sorted(r["archive"] for r in archives.write_archives(entries(spark).coalesce(1), old, most=2000).collect())
+    for mode, closed, kept in (("FULL", None, 39), ("TOMBSTONES_ONLY", None, 40), ("FULL", names[:1], None)):
+        facts = archives.compact(spark, old, f"{new}-{mode}-{closed is None}", mode, closed)
+        back = corpus.scan_archives(spark, f"{new}-{mode}-{closed is None}")
+        assert back.where("tombstone").isEmpty() and back.count() == facts.agg(F.sum("entries")).first()[0]
+        assert back.count() == (kept or corpus.current(corpus.scan_archives(spark, old).where(F.col("archive") == names[0])).count())
