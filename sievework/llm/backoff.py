@@ -29,7 +29,7 @@ from sievework.session import materialise
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 BLOCK_BYTES = 6 << 20  # of text in a block
-PART_BYTES = 8 << 20  # of text for which there is one partition of the count tables; its n-grams take about twice that
+PART_BYTES = 6 << 20  # of text for which there is one partition of the count tables; its n-grams take about twice that
 HASH_BITS = 64  # of an n-gram's hash; fewer save disk, but let different n-grams share a count
 PART_BITS = 24  # leading bits of the hash that partitions are told by
 
@@ -215,8 +215,11 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, mi
             score, alone = grams.score(totals, alpha, min_count)
             yield pa.record_batch([held.column(1), pa.array(grams.words.count.astype(np.int64)), pa.array(score), pa.array(alone.astype(np.int64))], ["doc_id", "n_tokens", "raw", "alone"])
 
-    n = max(partitions(docs.sparkSession), -(-size // (2 * BLOCK_BYTES)))
-    scored = materialise(rows.repartition(n, "block").sortWithinPartitions("block", "part").mapInArrow(task(run), "doc_id long, n_tokens long, raw double, alone long"), "backoff-scores")
+    # Blocks are numbered within the scan's tasks: dealt in turn, about one comes to each task.
+    n = max(partitions(docs.sparkSession), -(-size // BLOCK_BYTES))
+    each = -(-n // max(1, source.rdd.getNumPartitions()))
+    turn = F.pmod(F.shiftright("block", 32) * each + F.col("block").bitwiseAND(0xFFFFFFFF), F.lit(n)).cast("int")
+    scored = materialise(rows.repartitionById(n, turn).sortWithinPartitions("block", "part").mapInArrow(task(run), "doc_id long, n_tokens long, raw double, alone long"), "backoff-scores")
     tokens = scored.agg(F.sum("n_tokens")).first()[0] or 1
     score = F.col("raw") - F.col("alone") * F.log(F.lit(float(max(tokens, 1))))
     return scored.select("doc_id", "n_tokens", score.alias("log_score"), F.when(F.col("n_tokens") > 0, score / F.col("n_tokens")).alias("mean_log"))
