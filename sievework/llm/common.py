@@ -60,13 +60,14 @@ def release() -> None:
 
 
 def task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: Sequence[str] = ()):
-    """A mapInArrow function that drops other operators' memos when it begins and free memory when it ends, so that
+    """A mapInArrow function that drops other operators' memos when it begins and free memory then and when it ends, so that
     workers which Spark uses again do not grow from stage to stage."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, forget in MEMOS.items():
             if name not in keeps:
                 forget()
+        release()
         try:
             yield from run(batches)
         finally:

@@ -72,7 +72,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         return pa.record_batch([batch.column(1), *(pa.array(v) for v in counts.values()), pa.array(failed), pa.array(p.astype(float)), pa.array(kept)], ["doc_id", *counts, "base_failed", "probability", "kept"])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
-    return texts(docs, id_col, text_col).select("text", "doc_id").mapInArrow(by_slices(run, rows=512), schema)
+    return texts(docs, id_col, text_col).select("text", "doc_id").mapInArrow(by_slices(run, rows=256), schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -89,7 +89,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample
         kept = judge(pa.record_batch([array], ["text"]), w, b)[3]
         return batch.filter(pa.array(kept))
 
-    return docs.mapInArrow(by_slices(run, column=text_col, rows=512), docs.schema)
+    return docs.mapInArrow(by_slices(run, column=text_col, rows=256), docs.schema)
 
 
 def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Callable[[list[str]], np.ndarray]:

@@ -84,7 +84,7 @@ def rank_quality(docs: DataFrame, labels: DataFrame, allowed=None, id_col: str =
         score = ranking.score(batch.column(0)).astype(float)
         return pa.record_batch([batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return texts(docs, id_col, text_col).select("text", "doc_id").mapInArrow(by_slices(run, rows=512), "doc_id long, score double, predicted int")
+    return texts(docs, id_col, text_col).select("text", "doc_id").mapInArrow(by_slices(run, rows=256), "doc_id long, score double, predicted int")
 
 
 def remainder(modulus: int):

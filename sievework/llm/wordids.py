@@ -20,7 +20,7 @@ from sievework.llm import textkernels as K
 from sievework.llm.common import MEMOS
 
 #: Most words of one generation of the memo (two are kept), and longest word, that a worker remembers.
-MEMO, MEMO_CHARS = 300_000, 40
+MEMO, MEMO_CHARS = 200_000, 40
 MARKS = string.punctuation
 MARK = np.zeros(256, bool)
 MARK[list(MARKS.encode())] = True
