@@ -108,8 +108,8 @@ def collect_sparse(sample: DataFrame, encode: Callable[[pa.Array], list[bytes]],
         kept.append(r["doc_id"])
     if len(kept) < len(sizes):
         rows = rows.join(F.broadcast(sample.sparkSession.createDataFrame([(i,) for i in kept], "doc_id long")), "doc_id", "left_semi")
-    got = rows.toArrow()
-    found = sorted(zip(got["doc_id"].to_pylist(), got["y"].to_pylist(), got["data"].to_pylist(), strict=True))
+    # Partition by partition: the driver's JVM holds one of them, Python each row's bytes once.
+    found = sorted((r["doc_id"], r["y"], bytes(r["data"])) for r in rows.toLocalIterator())
     return [(y, data) for _, y, data in found]
 
 

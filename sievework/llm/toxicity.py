@@ -74,9 +74,11 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, beta: float
     """
     if len(set(y.tolist())) < 2:
         return Sparse(np.zeros(0, np.int64), np.zeros(0), 20.0 if len(y) and y[0] == 1 else -20.0)
-    used, count = np.unique(np.concatenate(rows), return_counts=True)
-    used = used[count >= 2]
-    place = np.full(1 << BITS, -1)
+    count = np.zeros(1 << BITS, np.int32)
+    for r in rows:
+        count[r] += 1
+    used = np.flatnonzero(count >= 2)
+    place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
     rows = [own[own >= 0] for own in (place[r] for r in rows)]  # features by their place among those that take part
     z, root = np.zeros(len(used)), np.zeros(len(used))  # root: of the sum of squared gradients
@@ -88,7 +90,7 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, beta: float
 
     for _ in range(passes):
         for i in rng.permutation(len(rows)).tolist():
-            at = rows[i]
+            at = rows[i].astype(np.int64)
             zi, ri = z[at], root[at]
             w = weight(zi, ri)
             wb = -zb / ((beta + rb) / alpha)
@@ -116,7 +118,7 @@ def encode(array: pa.Array) -> list[bytes]:
 def collect(sample: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct buckets of each row of a bounded sample, and the labels."""
     rows = collect_sparse(sample, encode)
-    return [np.frombuffer(data, "<u4").astype(np.int64) for _, data in rows], np.array([y for y, _ in rows], dtype=float)
+    return [np.frombuffer(data, "<u4") for _, data in rows], np.array([y for y, _ in rows], dtype=float)
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed=None, sample: int = SAMPLE, label: str = "toxic") -> Sparse:

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -220,3 +221,14 @@ def test_plain_features_are_the_kernels():
     texts = [t for _, t in [r[:2] for r in rows()] if t and len(t) < 3000]
     got = np.concatenate([K.hashed_ngrams(pa.array(texts)), K.shapes(pa.array(texts))], axis=1)
     assert np.allclose(got, [plain_ngrams(t) + plain_shapes(t) for t in texts], atol=1e-5)
+
+
+def test_ftrl_holds_its_rows_once_more():
+    """Of a sample's features the driver makes one copy of 32-bit places, not several of 64 bits."""
+    rng = np.random.default_rng(0)
+    rows = [np.unique(rng.integers(0, 50_000, 3000)).astype("<u4") for _ in range(2000)]
+    tracemalloc.start()
+    toxicity.ftrl(rows, np.arange(2000) % 2.0, passes=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.2 * sum(r.nbytes for r in rows) + (16 << 20)
