@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.llm import linear, quality, ranking, toxicity
 from sievework.llm import textkernels as K
@@ -232,3 +233,75 @@ def test_ftrl_holds_its_rows_once_more():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 1.2 * sum(r.nbytes for r in rows) + (16 << 20)
+
+
+def blocks_of(spark, bound, labels=None):
+    docs, every = frames(spark)
+    ids = linear.labelled_ids(every if labels is None else labels, "quality")
+    counts = Counter(r["y"] for r in ids.collect())
+    return linear.labelled_blocks(docs.selectExpr("doc_id", "coalesce(text, '') text"), ids, counts, ranking.features, bound), counts
+
+
+@pytest.mark.parametrize("bound", [10, 1000])
+def test_blocks_hold_all_labelled_rows(spark, bound):
+    docs, labels = frames(spark)
+    rows, _ = blocks_of(spark, bound)
+    found = sorted(rows.collect(), key=lambda r: (r["block"], r["doc_id"]))
+    home = {r["doc_id"]: r for r in found if r["home"]}
+    want = chosen(spark, docs, labels, "quality", 1000)
+    assert sorted(home) == [i for i, _, _ in want] and sum(r["home"] for r in found) == len(want)
+    for i, text, y in want:
+        x = ranking.features(pa.array([text]))[0]
+        assert home[i]["y"] == y
+        assert np.frombuffer(home[i]["at"], "<u2").tolist() == np.flatnonzero(x).tolist()
+        assert np.frombuffer(home[i]["value"], "<f4").tolist() == x[x != 0].tolist()
+    kinds = {b: {r["y"] for r in found if r["block"] == b} for b in {r["block"] for r in found}}
+    assert len(kinds) == (1 if bound == 1000 else -(-len(want) // bound)) and all(k == {0, 1} for k in kinds.values())
+
+
+def test_ranking_of_blocks(spark):
+    """The loss of all blocks' pairs, summed one by one, has no slope along any weight that counts; threshold and scale are
+    those of all rows."""
+    ridge, pairs = 1e-3, 50
+    rows, counts = blocks_of(spark, 10)
+    model = ranking.learn_blocks(rows, counts[1], counts[0], pairs=pairs, ridge=ridge)
+    found = sorted(rows.collect(), key=lambda r: (r["block"], r["doc_id"]))
+    X = np.zeros((len(found), ranking.WIDTH))
+    for x, r in zip(X, found, strict=True):
+        x[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["value"], "<f4")
+    y, block = np.array([r["y"] for r in found]), np.array([r["block"] for r in found])
+    s = X @ model.weights
+    slope = ridge * model.weights
+    total = sum(max(pairs, (y[block == b] == 1).sum(), (y[block == b] == 0).sum()) for b in set(block.tolist()))
+    for b in set(block.tolist()):
+        own = np.flatnonzero(block == b)
+        i, j = ranking.draw(y[own], pairs, ranking.SEED + b)
+        for p, q in zip(own[i].tolist(), own[j].tolist(), strict=True):
+            slope = slope + (1 / (1 + math.exp(s[q] - s[p])) - 1) / total * (X[p] - X[q])
+    assert np.abs(slope).max() < 2e-3 and np.abs(model.weights).max() > 0.1
+    home = np.sort(s[[r["home"] for r in found]])
+    bad = counts[0]
+    at = math.floor(bad / len(home) * (len(home) - 1))
+    assert abs(model.threshold - (home[at] + home[at - 1]) / 2) < 1e-5
+    assert abs(model.scale - (np.median(home[bad:]) - np.median(home[:bad])) / 8) < 1e-5
+
+
+def test_ranks_are_selected_exactly(spark):
+    s = np.random.default_rng(0).standard_normal(500).round(2).astype(np.float32)
+    s[:3] = 0.0, -0.0, -3e38
+    keys = spark.createDataFrame([(k,) for k in ranking.ordered_key(s).tolist()], "key long")
+    got = [ranking.key_value(k) for k in ranking.select(keys, [0, 1, 250, 499])]
+    assert got == np.sort(s)[[0, 1, 250, 499]].tolist()
+
+
+def test_ranking_learns_from_every_labelled_row(spark):
+    """A word that only the rows of the largest hashes hold, beyond the first 4,000, is learnt."""
+    order = [r[0] for r in spark.range(4400).orderBy(F.xxhash64("id")).collect()]
+    last = set(order[4000:])
+    r = random.Random(1)
+    words_of = lambda n: " ".join(r.choice(["stone", "river", "cloud", "lamp"]) for _ in range(n))
+    rows = [(i, words_of(8) + (" zebra quagga" if i in last else " junk" if i % 2 else ""), int(i not in last and i % 2 == 0)) for i in range(4400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(9000, "stone river cloud lamp zebra quagga"), (9001, "stone river cloud lamp")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    got = {r["doc_id"]: r["predicted"] for r in ranking.rank_quality(docs, labels).where("doc_id >= 9000").collect()}
+    assert got == {9000: 0, 9001: 1}
