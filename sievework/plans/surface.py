@@ -312,7 +312,7 @@ def minhash_estimates(spark, d):
     pairs = analytics.jaccard_pairs(edges(spark, d), 0.37)
     both = pairs.join(sets.select(F.col("q").alias("q1"), F.col("s").alias("s1")), "q1").join(sets.select(F.col("q").alias("q2"), F.col("s").alias("s2")), "q2")
     gap = F.avg(F.abs(analytics.estimated_jaccard("s1", "s2") - F.col("jaccard")))
-    return both.agg(F.count(F.lit(1)).alias("pairs"), (gap < 0.05).alias("close"))
+    return both.agg(F.count(F.lit(1)).alias("pairs"), (F.coalesce(gap, F.lit(0.0)) < 0.05).alias("close"))  # without pairs no estimate is off
 
 
 @query("SELECT doc_id AS id, 'missing' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, 'orphan' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")

@@ -3,10 +3,12 @@
 import math
 from datetime import timedelta
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as driver
 from sievework.functions import schema as S, vectors
 from sievework.operators import analytics, cases as C, evaluation as E, filters as P, fusion, lexical, memory as M, models, retrieval as R, vector_search as V
 from sievework.plans.components import connected_components
@@ -258,6 +260,16 @@ def test_minhash_estimates(spark):
     assert abs(got - 1 / 3) < 0.15
 
 
+def test_minhash_estimates_without_pairs(spark, sf, tmp_path):
+    """Queries that no other comes near give SQL's row, too."""
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE events AS SELECT * FROM read_parquet('{sf}/events.parquet') WHERE CAST(json_extract(props, '$.k') AS INTEGER) = 1")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    want = con.execute(driver.oracle_sql()["minhash_estimates"]).fetchall()
+    got = driver.queries()["minhash_estimates"](spark, str(tmp_path))
+    assert [tuple(r) for r in got.collect()] == want == [(0, True)]
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(30)] + [(50, 51), (51, 50), (52, 52), (60, 61), (62, 61), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
