@@ -49,8 +49,11 @@ def constant(good: int, bad: int) -> Ranking:
 
 
 def draw(y: np.ndarray, pairs: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows labelled 1 and rows labelled 0 of each pair; every row takes part in about the same number of pairs."""
+    """Rows labelled 1 and rows labelled 0 of each pair; every row takes part in about the same number of pairs. A block
+    that the hash left without one label (about one in 10 ** 27) has no pairs."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    if not len(good) or not len(bad):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     rng = np.random.default_rng(seed)
     pairs = max(pairs, len(good), len(bad))
     return np.resize(rng.permutation(good), pairs), rng.permutation(np.resize(bad, pairs))

@@ -242,8 +242,10 @@ def blocks_of(spark, bound, labels=None):
     return linear.labelled_blocks(docs.selectExpr("doc_id", "coalesce(text, '') text"), ids, counts, ranking.features, bound), counts
 
 
-@pytest.mark.parametrize("bound", [10, 1000])
-def test_blocks_hold_all_labelled_rows(spark, bound):
+@pytest.mark.parametrize("bound, rare", [(10, 64), (10, 8), (1000, 64)])
+def test_blocks_hold_all_labelled_rows(spark, monkeypatch, bound, rare):
+    """Rows of the rarer label are in all blocks, in some of them or in the only one."""
+    monkeypatch.setattr(linear, "RARE", rare)
     docs, labels = frames(spark)
     rows, _ = blocks_of(spark, bound)
     found = sorted(rows.collect(), key=lambda r: (r["block"], r["doc_id"]))
@@ -286,6 +288,12 @@ def test_ranking_of_blocks(spark):
     assert abs(model.scale - (np.median(home[bad:]) - np.median(home[:bad])) / 8) < 1e-5
 
 
+def test_blocks_of_one_label_have_no_pairs():
+    i, j = ranking.draw(np.ones(5), 20, 7)
+    value, row = ranking.pair_loss(np.arange(5.0), i, j)
+    assert len(i) == len(j) == 0 and value == 0 and row.tolist() == [0] * 5
+
+
 def test_ranks_are_selected_exactly(spark):
     s = np.random.default_rng(0).standard_normal(500).round(2).astype(np.float32)
     s[:3] = 0.0, -0.0, -3e38
